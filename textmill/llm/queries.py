@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textmill.llm import distinctive_terms, leaks, site_lines, token_ids, visual_form
+from textmill.llm import distinctive_terms, encoding_repair, leaks, site_lines, token_ids, visual_form
 from textmill.llm.visual_form import form_sql
 from textmill.sources.tables import table
 
@@ -11,6 +11,8 @@ QUERIES = {
     "p1_scores": lambda spark, d: _rounded(distinctive_terms.score_terms(table(spark, d, "postings"))),
     "p4_found": lambda spark, d: site_lines.repeated_line_numbers(table(spark, d, "text_pages")),
     "p4_clean": lambda spark, d: site_lines.without_repeated_lines(table(spark, d, "text_pages")),
+    "p7_found": lambda spark, d: encoding_repair.garbled_pages(table(spark, d, "pages"), table(spark, d, "text_pages")),
+    "p7_repaired": lambda spark, d: encoding_repair.repaired_pages(table(spark, d, "pages"), table(spark, d, "text_pages")),
     "p8_ids": lambda spark, d: token_ids.encode_documents(table(spark, d, "documents")),
     "p8_decoded": lambda spark, d: token_ids.decode_documents(token_ids.encode_documents(table(spark, d, "documents"))),
     "p9_found": lambda spark, d: leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark")),
