@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textmill.llm import distinctive_terms, encoding_repair, leaks, residue, site_lines, token_ids, visual_form
+from textmill.llm import distinctive_terms, encoding_repair, leaks, main_content, residue, site_lines, token_ids, visual_form
 from textmill.llm.visual_form import form_sql
 from textmill.sources.tables import table
 
@@ -13,6 +13,8 @@ QUERIES = {
     "p2_clean": lambda spark, d: residue.without_residue(table(spark, d, "text_pages")).select("page_id", "path"),
     "p4_found": lambda spark, d: site_lines.repeated_line_numbers(table(spark, d, "text_pages")),
     "p4_clean": lambda spark, d: site_lines.without_repeated_lines(table(spark, d, "text_pages")),
+    "p5_found": lambda spark, d: main_content.main_lines(table(spark, d, "pages")),
+    "p5_text": lambda spark, d: main_content.main_text(table(spark, d, "pages")),
     "p7_found": lambda spark, d: encoding_repair.garbled_pages(table(spark, d, "pages"), table(spark, d, "text_pages")),
     "p7_repaired": lambda spark, d: encoding_repair.repaired_pages(table(spark, d, "pages"), table(spark, d, "text_pages")),
     "p8_ids": lambda spark, d: token_ids.encode_documents(table(spark, d, "documents")),

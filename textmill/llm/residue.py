@@ -16,7 +16,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -38,12 +37,14 @@ FILLER = frozenset(
     "vestibulum condimentum sodales lacus nullam rutrum proin mattis tincidunt vehicula dapibus lobortis elitra egestor quorem "
     "proxima ornatum vestibula labentis veniat pharelis condum vinculet fugiet dorsum consectum".split()
 )
+# The keys under which idle fingers lie, and where such typing begins.
+HOME_ROW = "asdfghjklqwe"
 # Ways to write a slot. A name in single brackets or braces counts only as a field name.
 _NAME = r"[A-Za-z]\w*(?:\.\w+)*"
 _FIELD = r"(?i:\w+[_.]\w+|building|semester|instructor|term|room|title|name|course|date|email|phone|author|subject|city|address|year)"
 _SLOT = re.compile(
     rf"\{{\{{\s*{_NAME}\s*\}}\}}|<%=?\s*{_NAME}\s*%>|<<{_NAME}>>|%\({_NAME}\)s|[$#]\{{{_NAME}\}}|\$\({_NAME}\)|@@{_NAME}@@|%%{_NAME}%%|###{_NAME}###"
-    rf"|(?<![\[\w])\[{_FIELD}\](?![(\[\]])|(?<![\w$#{{])\{{{_FIELD}\}}(?!\}})|\[object Object\]|(?<![\w.])(?:undefined|null|NaN)(?![\w(.])"
+    rf"|(?<![\[\w])\[{_FIELD}\](?![(\[\]])|(?<![\w$#{{])\{{{_FIELD}\}}(?!\}})|\[(?i:insert|enter|your|todo) {_NAME}\]|\[object Object\]|(?<![\w.])(?:undefined|null|NaN)(?![\w(.])"
 )
 # What error pages, script demands and their surroundings say, as whole segments with numbers masked as 0.
 _ERROR = r"""page not found|seite nicht gefunden|página no encontrada|erreur ?: page introuvable|access denied|forbidden|internal server error|bad gateway
@@ -55,20 +56,20 @@ _ON = r"(?:javascript|js|scripts?|scripting|client-side scripts?|client-side scr
 _SCRIPT = rf"""(?:please |kindly |you need to |you must )?(?:enable|activate|allow|turn on|switch on) {_ON}\b.{{0,60}}|(?:bitte )?aktivieren sie javascript.{{0,60}}|active javascript en su navegador.{{0,40}}
 |veuillez activer javascript.{{0,50}}|your browser (?:does not support|has switched off|blocks|has blocked|cannot run) {_ON}(?:; .{{1,60}})?
 |(?:this|the) \w+(?: \w+)? (?:depends on|requires|needs|cannot run without|does not work without) {_ON}|(?:checking|verifying) your browser before .{{1,60}}"""
-_PLACEHOLDER = r"""click to edit this \w+|your (?:text|title|headline) goes here|(?:headline|title|subtitle|text|content) goes here|(?:sub)?title to be written|sample (?:paragraph|text)\. replace this with your own words"""
+_PLACEHOLDER = r"""click to edit this \w+|your (?:text|title|headline) goes here|(?:headline|title|subtitle|text|content) goes here|(?:sub)?title to be written|sample (?:paragraph|text)\. replace this with your own words
+|insert the \w+ of the \w+ here|here comes the \w+ of the \w+ \(to do\)|this is a placeholder for the \w+|add some text about your \w+"""
 _TRUSTED = re.compile(f"(?:{_ERROR}|{_SCRIPT}|{_PLACEHOLDER})[.!]*".replace("\n", ""), re.I)
 # Words that make a segment a suspect.
 _SIGNS = (
     "javascript", " js ", "scripts", "scripting", "your browser", "not found", "nicht gefunden", "no encontrada", "introuvable", "denied", "unavailable", "too many requests",
     "has expired", "went wrong", "error", "http status", "maintenance", "try again", "noch einmal", "intentarlo", "réessayer", "you do not have permission", "you asked for",
     "you requested", "looking for", "reference number", "failed to open", ".java:", "exception", "loading", "please wait", "log in again", "check the address", "start page", "forbidden", "bad gateway",
-    "click to edit", "goes here", "to be written", "own words", "vérifi", "verifying",
+    "click to edit", "goes here", "to be written", "own words", "insert the", "here comes", "placeholder", "add some text", "vérifi", "verifying",
 )
+_OPEN = re.compile(r"[{\[][A-Za-z]")
 _SUSPECT = re.compile("|".join(map(re.escape, _SIGNS)), re.I)
-# what the JVM looks for in a lower-case content before a record is sent on: the signs, slot syntax and filler words
 _FILLS = ("lorem", "dolor", "ipsum", "quorem", "mattis", "magna", "velit")
-_SLOTS = ("{", "@@", "%%", "###", "%(", "$(", "<<", "&lt;&lt;", "<%", "&lt;%", "[", "undefined", "null", "nan")
-_GATE = (*_SIGNS, *_FILLS, *_SLOTS)
+_SLOTS = ("{{", "@@", "%%", "###", "%(", "$(", "<<", "&lt;&lt;", "<%", "&lt;%", "undefined", "null", "NaN")
 _SLOTTED = re.compile(r"[{}\[<@%#(]|null|undefined|NaN")
 _HIDDEN = re.compile(r"(?is)<(script|style|noscript|title|pre|code|textarea)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)")
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>?|\n")
@@ -90,6 +91,13 @@ def masked(segment: str) -> str:
     return _DIGITS.sub("0", _DOTTED.sub("§", _SLOT.sub("§", segment)))
 
 
+def idle(words: list[str]) -> bool:
+    """Whether words are one word over and over, or keys struck along the home row."""
+    if len(words) < 4:
+        return False
+    return len(set(words)) == 1 or len(set(words)) == 2 and len(words) >= 6 or sum(not w.strip(HOME_ROW) for w in words) >= 0.8 * len(words)
+
+
 def label(segment: str) -> tuple[bool, bool]:
     """(suspect, trusted) of a segment."""
     suspect = bool(_SUSPECT.search(segment))
@@ -100,7 +108,7 @@ def label(segment: str) -> tuple[bool, bool]:
         rest = _WORD.findall(_SLOT.sub(" ", segment))
         return True, len(rest) <= 3 * slots + 1 and not re.search("[\"'“`]|\\$\\w", _SLOT.sub(" ", segment)) and (len(rest) > 0 or slots > 1)
     words = _WORD.findall(segment.lower())
-    if len(words) > 2 and sum(w in FILLER for w in words) >= 0.6 * len(words):
+    if len(words) > 2 and (sum(w in FILLER for w in words) >= 0.6 * len(words) or idle(words)):
         return True, True
     return suspect, False
 
@@ -108,7 +116,18 @@ def label(segment: str) -> tuple[bool, bool]:
 def has_sign(content: str) -> bool:
     """Whether a content can have a suspect segment; cheap, so that most records end here."""
     low = content.lower()
-    return any(x in low for x in _SIGNS) or any(x in low for x in _FILLS) or bool(_SLOT.search(content)) or ("&lt;" in low and bool(_SLOT.search(html.unescape(content))))
+    for x in _SIGNS:
+        if x in low:
+            return True
+    for x in _FILLS:
+        if x in low:
+            return True
+    words = low.split()
+    if any(a == b == c for a, b, c in zip(words, words[2:], words[4:], strict=False)) or sum([not w.strip(HOME_ROW) for w in words]) >= 3:
+        return True
+    if any(x in content for x in _SLOTS) or _OPEN.search(content):
+        return bool(_SLOT.search(content)) or ("&lt;" in low and bool(_SLOT.search(html.unescape(content))))
+    return False
 
 
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +154,7 @@ def suspects(*tables: DataFrame) -> DataFrame:
     rows = tables[0].select("page_id", "content")
     for t in tables[1:]:
         rows = rows.unionByName(t.select("page_id", "content"))
-    low = F.lower("content")
-    gate = reduce(lambda a, b: a | b, (low.contains(x) for x in _GATE))
-    rows = rows.where(F.col("page_id").isNotNull() & gate)
+    rows = rows.where(F.col("page_id").isNotNull() & (F.col("content") != ""))
     return rows.mapInArrow(_suspects, f"page_id {rows.schema['page_id'].dataType.simpleString()}, segment string, trusted boolean")
 
 
@@ -204,3 +221,16 @@ def residue_pages(*tables: DataFrame) -> DataFrame:
 def without_residue(table: DataFrame) -> DataFrame:
     """The rows of one table that are no residue, with all their columns."""
     return table.join(residue_pages(table), "page_id", "left_anti")
+
+
+def is_residue(content: str) -> bool:
+    """Whether one content has a trusted segment and no content of its own; what ``residue_pages`` finds before links."""
+    if not has_sign(content):
+        return False
+    trusted, own = False, 0
+    for s in segments(content):
+        if label(s)[1]:
+            trusted = True
+        elif (n := s.count(" ") + 1) >= 6:
+            own += n
+    return trusted and own < OWN_WORDS
