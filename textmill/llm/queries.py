@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textmill.llm import distinctive_terms, encoding_repair, leaks, main_content, residue, site_lines, token_ids, visual_form
+from textmill.llm import distinctive_terms, encoding_repair, leaks, main_content, markup, residue, site_lines, token_ids, visual_form
 from textmill.llm.visual_form import form_sql
 from textmill.sources.tables import table
 
@@ -11,6 +11,8 @@ QUERIES = {
     "p1_scores": lambda spark, d: _rounded(distinctive_terms.score_terms(table(spark, d, "postings"))),
     "p2_found": lambda spark, d: residue.residue_pages(table(spark, d, "pages"), table(spark, d, "text_pages")),
     "p2_clean": lambda spark, d: residue.without_residue(table(spark, d, "text_pages")).select("page_id", "path"),
+    "p3_found": lambda spark, d: markup.markup_pages(table(spark, d, "text_pages")),
+    "p3_clean": lambda spark, d: markup.clean_pages(table(spark, d, "text_pages")),
     "p4_found": lambda spark, d: site_lines.repeated_line_numbers(table(spark, d, "text_pages")),
     "p4_clean": lambda spark, d: site_lines.without_repeated_lines(table(spark, d, "text_pages")),
     "p5_found": lambda spark, d: main_content.main_lines(table(spark, d, "pages")),

@@ -44,7 +44,7 @@ _NAME = r"[A-Za-z]\w*(?:\.\w+)*"
 _FIELD = r"(?i:\w+[_.]\w+|building|semester|instructor|term|room|title|name|course|date|email|phone|author|subject|city|address|year)"
 _SLOT = re.compile(
     rf"\{{\{{\s*{_NAME}\s*\}}\}}|<%=?\s*{_NAME}\s*%>|<<{_NAME}>>|%\({_NAME}\)s|[$#]\{{{_NAME}\}}|\$\({_NAME}\)|@@{_NAME}@@|%%{_NAME}%%|###{_NAME}###"
-    rf"|(?<![\[\w])\[{_FIELD}\](?![(\[\]])|(?<![\w$#{{])\{{{_FIELD}\}}(?!\}})|\[(?i:insert|enter|your|todo) {_NAME}\]|\[object Object\]|(?<![\w.])(?:undefined|null|NaN)(?![\w(.])"
+    rf"|(?<![\[\w])\[{_FIELD}\](?![(\[\]])|(?<![\w$#{{])\{{{_FIELD}\}}(?!\}})|\[(?i:insert|enter|your|todo) {_NAME}\]|\[object Object\]|(?<![\w.])(?:undefined|null|NaN)(?![\w(]|\.\w)"
 )
 # What error pages, script demands and their surroundings say, as whole segments with numbers masked as 0.
 _ERROR = r"""page not found|seite nicht gefunden|página no encontrada|erreur ?: page introuvable|access denied|forbidden|internal server error|bad gateway
