@@ -123,7 +123,10 @@ def has_sign(content: str) -> bool:
         if x in low:
             return True
     words = low.split()
-    if any(a == b == c for a, b, c in zip(words, words[2:], words[4:], strict=False)) or sum([not w.strip(HOME_ROW) for w in words]) >= 3:
+    if any(a == c and b == d for a, b, c, d in zip(words, words[1:], words[2:], words[3:], strict=False)):
+        return True
+    idle_at = [i for i, w in enumerate(words) if not w.strip(HOME_ROW) and len(w) > 2]
+    if len(idle_at) > 2 and any(b - a <= 3 for a, b in zip(idle_at, idle_at[2:], strict=False)):
         return True
     if any(x in content for x in _SLOTS) or _OPEN.search(content):
         return bool(_SLOT.search(content)) or ("&lt;" in low and bool(_SLOT.search(html.unescape(content))))
