@@ -106,12 +106,12 @@ QUERIES = {
     "strange_words": lambda spark, d: _plain(spark, d).select("token").distinct().withColumn("strange", is_strange(F.col("token"))),
     "first_url_wins": lambda spark, d: first_urls(table(spark, d, "pages"), "page_id"),
     "exact_dup": lambda spark, d: sh.exact_classes(_docs(spark, d), "doc_id", "text"),
-    "simhash_words": lambda spark, d: _hashes(spark, d),
+    "simhash_words": lambda spark, d: _hashes(spark, d).where("w0 IS NOT NULL"),
     "near_dup_pairs": lambda spark, d: sh.near_class_pairs(sh.classes(_hashes(spark, d))),
     "dedup_kept": lambda spark, d: sh.kept(_hashes(spark, d)),
     "html_tag_freq": lambda spark, d: po.tag_frequencies(table(spark, d, "pages").select("page_id", "content").distinct()),
     "index_postings": _indexed,
-    "stale_frequencies": lambda spark, d: po.stale_frequencies(table(spark, d, "postings")),
+    "stale_frequencies": lambda spark, d: po.stale_frequencies(table(spark, d, "postings")).withColumn("frequency", F.coalesce("frequency", F.lit(-1).cast("bigint"))),
     "weighted_search": lambda spark, d: _rounded(_weighted(spark, d), "tfidf"),
     "weighted_search_urls": weighted_urls,
     "lemma_map": lambda spark, d: wo.lemma_map(_plain(spark, d).select("token").distinct()),
@@ -194,13 +194,13 @@ SQL = {
     "strange_words": f"WITH {_WORDS} SELECT token, {' OR '.join(f'''regexp_matches(token, '{p}')''' for p in STRANGE)} AS strange FROM dfs",
     "first_url_wins": "SELECT url, min(page_id) AS page_id FROM pages WHERE url <> '' GROUP BY url",
     "exact_dup": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents WHERE text IS NOT NULL",
-    "simhash_words": f"WITH {_HASHES} SELECT doc_id, w0, w1, w2, w3 FROM hashes",
+    "simhash_words": f"WITH {_HASHES} SELECT doc_id, w0, w1, w2, w3 FROM hashes WHERE w0 IS NOT NULL",
     "near_dup_pairs": f"WITH {_HASHES} SELECT id_a, id_b, distance FROM near WHERE distance <= {sh.NEAR}",
     "dedup_kept": f"""WITH {_HASHES},
 pairs AS (SELECT id_a, id_b FROM near WHERE distance <= {sh.NEAR}), least_of AS (SELECT first_id, least(first_id, (SELECT min(p.id_a) FROM pairs p WHERE p.id_b = c.first_id), (SELECT min(p.id_b) FROM pairs p WHERE p.id_a = c.first_id)) AS earliest, w0, w1, w2, w3 FROM classes c)
 SELECT h.doc_id FROM hashes h LEFT JOIN least_of l ON l.w0 = h.w0 AND l.w1 = h.w1 AND l.w2 = h.w2 AND l.w3 = h.w3 WHERE l.earliest IS NULL OR h.doc_id <= l.earliest""",
     "index_postings": f"WITH {_LAST} SELECT doc_id, token, {', '.join(f'f_{t}' for t in TAGS)}, {' + '.join(f'f_{t}' for t in TAGS)} AS tf FROM latest",
-    "stale_frequencies": "SELECT token, doc_id, run_id, frequency, tf FROM (SELECT *, CAST(coalesce(list_sum(map_values(tag_frequencies)), 0) AS BIGINT) AS tf FROM postings) WHERE frequency IS DISTINCT FROM tf",
+    "stale_frequencies": "SELECT token, doc_id, run_id, coalesce(frequency, -1) AS frequency, tf FROM (SELECT *, CAST(coalesce(list_sum(map_values(tag_frequencies)), 0) AS BIGINT) AS tf FROM postings) WHERE frequency IS DISTINCT FROM tf",
     "weighted_search": f"WITH {_INDEX_SEARCH} SELECT query_id, doc_id, round(tfidf, 6) AS tfidf FROM best",
     "weighted_search_urls": f"WITH {_INDEX_SEARCH}, urls AS (SELECT url, min(page_id) AS doc_id FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id, url FROM text_pages) WHERE url <> '' GROUP BY url) SELECT query_id, b.doc_id, round(tfidf, 6) AS tfidf, url FROM best b JOIN urls u ON u.doc_id = b.doc_id",
     "lemma_map": f"WITH {_WORDS}, {_LEMMAS} SELECT token, lemma FROM lemmas",
