@@ -125,7 +125,7 @@ def features(lines: list[str]) -> list[list[int]]:
                 f.append(_AT[f"in.{inside[i]}"])
             if i and lines[i - 1].strip():
                 f.append(_AT["below text"])
-            if _SIGN.search(t):
+            if _SIGN.search(t) and inside[i] not in ("pre", "fence", "verbatim"):  # code is of no notation
                 bare = _INLINE_CODE.sub("`c`", line.rstrip("\r")) if "`" in line else line.rstrip("\r")
                 f += [_AT[f"{g}.{n}"] for g, n, p in CONSTRUCTS if p.search(bare)]
                 f += [_AT[f"decoy.{n}"] for n, p in DECOYS if p.search(bare)]
@@ -146,7 +146,8 @@ def _sentence(r: random.Random) -> str:
 
 
 def _head(r: random.Random) -> str:
-    return r.choice((f"Notes on {r.choice(_NOUNS)}", f"{r.choice(_NOUNS).title()} and {r.choice(_NOUNS)}: methods", f"ABC {r.randint(100, 499)} {r.choice(_NOUNS)}"))
+    head = r.choice((f"Notes on {r.choice(_NOUNS)}", f"{r.choice(_NOUNS).title()} and {r.choice(_NOUNS)}: methods", f"ABC {r.randint(100, 499)} {r.choice(_NOUNS)}"))
+    return head.upper() if r.random() < 0.15 else head
 
 
 def _code(r: random.Random) -> list[str]:
@@ -205,7 +206,7 @@ def _plain(r: random.Random) -> list[str]:
 def labelled_pages(pages: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[list[str], list[int]]]:
     r, out = random.Random(seed), []
     for _ in range(pages):
-        used = r.sample(NOTATIONS, r.choice((0, 1, 1, 1, 2)))
+        used = r.sample(NOTATIONS, r.choice((0, 1, 1, 2, 3, 4)))
         rows: list[tuple[str, str]] = []
         for _ in range(r.randint(3, 9)):
             rows += _block(r, r.choice(used)) if used and r.random() < 0.6 else [(x, "plain") for x in _plain(r)]
@@ -292,7 +293,7 @@ def decode(model, lines: list[str]) -> tuple[list[int], set[int]]:
 # ---- clean text -----------------------------------------------------------------------------------------------------
 
 _INLINE = [(re.compile(p), s) for p, s in (
-    (r"<br\s*/?>", " "), (r"(?i)<sup>([^<]*)</sup>", r"^\1"), (r"(?i)<sub>([^<]*)</sub>", r"_\1"), (r"</?[A-Za-z][^<>]*/?>|<!--.*?-->", ""), (r"!?\[([^\[\]]+)\]\([^()\s]+(?:\s+\"[^\"]*\")?\)", r"\1"), (r"\[([^\[\]]+)\]\[\w{1,4}\]", r"\1"),
+    (r"<br\s*/?>", " "), (r"(?i)<sup>([^<]*)</sup>", r"^\1"), (r"(?i)<sub>([^<]*)</sub>", r"_\1"), (r"</?[A-Za-z][^<>]*/?>|<!--[^<>]*(?:-->|$)", ""), (r"!?\[([^\[\]]+)\]\([^()\s]+(?:\s+\"[^\"]*\")?\)", r"\1"), (r"\[([^\[\]]+)\]\[\w{1,4}\]", r"\1"),
     (r"\[\[(?:Category|File|Image):[^\[\]]*?([^\[\]|]*)\]\]", ""), (r"\[\[(?:[^\[\]|]*\|)?([^\[\]]+)\]\]", r"\1"), (r"\{\{[A-Za-z][^{}|]*\|[^{}]*\}\}", ""), (r"'{2,3}([^']+)'{2,3}", r"\1"), (r"\*{2,3}([^*]+)\*{2,3}", r"\1"), (r"~~([^~]+)~~", r"\1"), (r"(?<!\w)__([^_]+)__(?!\w)", r"\1"),
     (r"(?<!`)`([^`]+)`(?!`)", r"\1"), (r"``([^`']+)''(?:\\,)?", "“\\1”"), (r"~?\\(?:cite|ref|label|footnote)\{[^{}]*\}", ""), (r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1"), (r"\\(?:emph|textbf|textit|texttt|underline)\{([^{}]*)\}", r"\1"), (r"\\,", " "),
 )]

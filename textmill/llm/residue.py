@@ -27,6 +27,7 @@ from textmill.operators.skew import salted_join
 from textmill.session import cut_lineage
 
 BLOCKS, NEAR, SIMILAR = 8, 6, 0.8
+LONG = 500  # characters from which similarity is that of five-word shingles instead of edits, whose cost is quadratic
 OWN_WORDS = 250  # words in other segments of six words or more from which a record has content of its own
 
 # The words of filler text.
@@ -197,8 +198,18 @@ def near_links(distinct: DataFrame) -> DataFrame:
     a = tabled.where(~F.col("trusted")).select("key", F.col("segment").alias("a"), F.col("sim").alias("sa"))
     b = tabled.select("key", F.col("segment").alias("b"), F.col("sim").alias("sb"))
     pairs = a.join(b, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= NEAR)).select("a", "b").distinct()
-    similar = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
-    return pairs.where(similar >= SIMILAR)
+    longer = F.greatest(F.length("a"), F.length("b"))
+    edits = 1 - F.levenshtein("a", "b") / longer
+    both = F.size(F.array_intersect(shingles("a"), shingles("b")))
+    shared = both / (F.size(shingles("a")) + F.size(shingles("b")) - both)
+    return pairs.where(F.when(longer <= LONG, edits).otherwise(shared) >= SIMILAR)
+
+
+def shingles(column: str):
+    """The distinct runs of five words of a text; the whole text if it has fewer."""
+    words = F.split(column, " ")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, 5), " ")))
 
 
 def labelled_segments(found: DataFrame) -> DataFrame:
