@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAINING_PAGES, EPOCHS, SEED = 500, 12, 20  # the bound of the training sample
+TRAINING_PAGES, EPOCHS, SEED = 700, 14, 20  # the bound of the training sample
 LABELS = ("plain", "html", "markdown", "wiki", "latex", "code")
 NOTATIONS = LABELS[1:5]
 
@@ -165,7 +165,7 @@ def _wrapped(r: random.Random, text: str, wrap) -> str:
 def _block(r: random.Random, notation: str) -> list[tuple[str, str]]:
     """A block of one notation: its lines with their labels."""
     a, b = r.sample(_NOUNS, 2)
-    s, h = _sentence(r), _head(r)
+    s, h = _sentence(r) + (" " + _sentence(r)) * r.randint(0, 2), _head(r)
     one = lambda x: [(x, notation)]
     fence = lambda o, c, esc=str, pre="": [(o, notation), *((pre + esc(x), notation if pre else "code") for x in _code(r)), (c, notation)]
     if notation == "html":
@@ -236,7 +236,7 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED)
     step = 0
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(len(data)), max(1, len(data) // 10)):
-            gw, gt = 1e-3 * w, 1e-3 * t
+            gw, gt = 1e-4 * w, 1e-4 * t
             for d in batch:
                 feats, labels = data[d]
                 e, n = _emissions(w, feats), len(feats)
