@@ -1,14 +1,16 @@
 """128-bit SimHash of documents, exact and near duplicates.
 
 Hashes are four 32-bit words in BIGINT columns w0 (lowest bits) to w3. Equal hashes are collapsed to one class before any
-comparison, so copies never pair up. Near classes (at most six bits apart) meet in one of seven blocks of the hash (two of 19
-bits, five of 18): six differing bits leave a block untouched, so no pair is missed.
+comparison, so copies never pair up. Near classes (at most six bits apart) meet in one of 28 tables, each keyed by two of the
+hash's eight 16-bit blocks: six differing bits leave two blocks untouched, so no pair is missed, and a key of 32 bits brings
+together few others even among billions of classes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.text import hamming, tokens
+from textmill.operators.skew import salted_join
 
 WORDS = ("w0", "w1", "w2", "w3")
 NEAR = 6
-BLOCK_BITS = (19, 19, 18, 18, 18, 18, 18)
 
 
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,27 +67,20 @@ def classes(hashes: DataFrame) -> DataFrame:
     return hashes.where(F.col("w0").isNotNull()).groupBy(*WORDS).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("members"))
 
 
-def _blocks() -> list[Column]:
-    """The seven blocks; a block that lies across two words takes the high bits of one and the low bits of the next."""
-    out, at = [], 0
-    for width in BLOCK_BITS:
-        word, low = divmod(at, 32)
-        value = F.shiftright(WORDS[word], low)
-        if low + width > 32:
-            value = value.bitwiseOR(F.shiftleft(WORDS[word + 1], 32 - low))
-        out.append(value.bitwiseAND(F.lit((1 << width) - 1).cast("bigint")))
-        at += width
-    return out
+def _keys() -> list[Column]:
+    """For each of the 28 tables, its number and the values of its two blocks."""
+    halves = [h for w in WORDS for h in (F.col(w).bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(w, 16))]
+    tables = enumerate(combinations(range(len(halves)), 2))
+    return [F.shiftleft(F.lit(n).cast("bigint"), 32) + F.shiftleft(halves[i], 16) + halves[j] for n, (i, j) in tables]
 
 
 def near_class_pairs(found: DataFrame) -> DataFrame:
     """(id_a, id_b, distance): pairs of different classes within six bits, by their first ids, smaller first."""
-    blocks = F.array(*(F.struct(F.lit(i).alias("no"), b.alias("value")) for i, b in enumerate(_blocks())))
-    keyed = found.select("first_id", *WORDS, F.explode(blocks).alias("block")).select("first_id", *WORDS, "block.no", "block.value")
-    a = keyed.select("no", "value", F.col("first_id").alias("id_a"), *(F.col(w).alias(f"a{w}") for w in WORDS))
-    b = keyed.select("no", "value", F.col("first_id").alias("id_b"), *(F.col(w).alias(f"b{w}") for w in WORDS))
+    keyed = found.select("first_id", *WORDS, F.explode(F.array(*_keys())).alias("key"))
+    a = keyed.select("key", F.col("first_id").alias("id_a"), *(F.col(w).alias(f"a{w}") for w in WORDS))
+    b = keyed.select("key", F.col("first_id").alias("id_b"), *(F.col(w).alias(f"b{w}") for w in WORDS))
     distance = hamming([F.col(f"a{w}") for w in WORDS], [F.col(f"b{w}") for w in WORDS]).cast("bigint")
-    met = a.join(b, ["no", "value"]).where(F.col("id_a") < F.col("id_b")).withColumn("distance", distance).where(F.col("distance") <= NEAR)
+    met = a.join(b, "key").where(F.col("id_a") < F.col("id_b")).withColumn("distance", distance).where(F.col("distance") <= NEAR)
     return met.select("id_a", "id_b", "distance").distinct()
 
 
@@ -105,8 +100,6 @@ def kept(hashes: DataFrame) -> DataFrame:
 
 def exact_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, first_id): the smallest id with the same text. One row per document with text; by a 256-bit digest."""
-    from textmill.operators.skew import salted_join
-
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.sha2(text, 256).alias("digest"))
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     return salted_join(rows, firsts, ["digest"], F.col("doc_id")).select("doc_id", "first_id")

@@ -17,6 +17,7 @@ from textmill.sources.index_store import IndexOptions
 from textmill.sources.json_pages import first_urls
 
 NO_SUMMARY = "No summary is available."
+MANY_TERMS = 1000  # distinct query terms up to which they are a filter of the scan
 
 
 class Engine:
@@ -89,15 +90,34 @@ class Engine:
         return self.documents.where(F.col("path") == path).select("doc_id")
 
     def search(self, queries: DataFrame | str, mode: str = "tokens", depth: int = se.DEPTH) -> DataFrame:
-        """(query_id, rank, doc_id, tfidf, cosine, url) of one query text or a table (query_id, text); empty queries find nothing."""
-        if isinstance(queries, str):
+        """(query_id, rank, doc_id, tfidf, cosine, url) of one query text or a table (query_id, text); empty queries find nothing.
+
+        With few terms (always for one short text) only their postings are read: the terms are a filter that prunes the sorted
+        files. For one text the at most ``depth`` documents that are ranked prune the vectors in the same way."""
+        single = isinstance(queries, str)
+        if single:
             queries = self.spark.range(1).select(F.lit(0).alias("query_id"), F.lit(queries).alias("text"))
         asked = queries
         if self.options.lemmatize and mode != "strict":
             asked = self._lemmatized(queries)
-        found = se.matches(asked, self.postings, self.document_frequencies(), F.lit(self.page_count), mode)
-        ranked = se.rerank(se.top(found, depth), queries, self.vectors, self.norms)
-        return se.with_urls(ranked, first_urls(self.documents))
+        postings, vectors, norms, documents = self.postings, self.vectors, self.norms, self.documents
+        terms = [r.token for r in se.query_terms(asked, mode).select("token").distinct().limit(MANY_TERMS + 1).collect()]
+        if len(terms) <= MANY_TERMS:
+            postings = postings.where(F.col("token").isin(*terms)) if terms else postings.limit(0)
+        best = se.top(se.matches(asked, postings, po.document_frequencies(postings), F.lit(self.page_count), mode), depth)
+        if single:
+            rows = best.collect()
+            best = self.spark.createDataFrame(rows, best.schema)
+            near = F.col("doc_id").isin(*(r.doc_id for r in rows)) if rows else F.lit(False)
+            vectors, norms, documents = vectors.where(near), norms.where(near), self._with_own_url(near)
+        else:
+            documents = first_urls(documents)
+        return se.with_urls(se.rerank(best, queries, vectors, norms), documents)
+
+    def _with_own_url(self, chosen) -> DataFrame:
+        """(url, doc_id) of the chosen documents that are the first of their url."""
+        urls = self.documents.where(chosen & (F.col("url") != "")).select("url").distinct()
+        return first_urls(self.documents.join(urls, "url", "left_semi")).where(chosen)
 
     def _lemmatized(self, queries: DataFrame) -> DataFrame:
         """Queries with each term as the lemma under which it is indexed: a term that isn't indexed itself is replaced by its
