@@ -95,15 +95,18 @@ class WuManber:
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items with their forms, in bounded blocks, streamed to the driver a partition at a time."""
     duck, block, chars = FormSql(), [], 0
-    rows = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    for r in rows.toLocalIterator():
-        block.append((r.item_id, duck.of(pa.array([r.text])).to_pylist()[0]))
+
+    def formed() -> list[tuple[int, str]]:
+        return list(zip((i for i, _ in block), duck.of(pa.array([t for _, t in block], pa.string())).to_pylist(), strict=True))
+
+    for r in items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").toLocalIterator():
+        block.append((r.item_id, r.text))
         chars += len(r.text)
         if len(block) >= BLOCK_ITEMS or chars >= BLOCK_CHARS:
-            yield block
+            yield formed()
             block, chars = [], 0
     if block:
-        yield block
+        yield formed()
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
