@@ -32,10 +32,16 @@ def tag_weighted(n_docs: Column) -> Column:
 
 
 def matches(queries: DataFrame, postings: DataFrame, dfs: DataFrame, n_docs: Column, mode: str = "tokens") -> DataFrame:
-    """(query_id, doc_id, tfidf): documents that have every term of a query. Queries without terms match nothing."""
-    asked = query_terms(queries, mode)
-    known = asked.join(dfs, "token")
-    hits = salted_join(postings, known, ["token"], F.col("doc_id"), 8).withColumn("s", tag_weighted(n_docs))
+    """(query_id, doc_id, tfidf): documents that have every term of a query. Queries without terms match nothing.
+
+    Only documents with a query's rarest term can match, so those are its candidates, and the other terms are looked up for
+    the candidates alone, by (doc_id, token), a key that no frequent token makes hot. A query with an unknown term is dropped
+    at once."""
+    known = query_terms(queries, mode).join(dfs, "token")
+    whole = known.groupBy("query_id", "n_terms").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("df", "token"))["token"].alias("token")).where(F.col("known") == F.col("n_terms"))
+    candidates = salted_join(postings.select("doc_id", "token"), whole.select("query_id", "token"), ["token"], F.col("doc_id"), 8).select("query_id", "doc_id")
+    wanted = salted_join(candidates, known, ["query_id"], F.col("doc_id"), 8)
+    hits = postings.join(wanted, ["doc_id", "token"]).withColumn("s", tag_weighted(n_docs))
     found = hits.groupBy("query_id", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("present"), F.sum("s").alias("tfidf"))
     return found.where(F.col("present") == F.col("n_terms")).select("query_id", "doc_id", "tfidf")
 
