@@ -41,6 +41,23 @@ def test_talk_about_residue_is_not(line):
     assert not residue.is_residue(f"<p>{html.escape(line)}</p>")
 
 
+def test_no_suspect_is_missed_by_the_gate():
+    r = random.Random(4)
+    assert residue.is_residue("Site > Menu\nDorsum pharelis veniat vinculet consectum dorsum. Pharelis elitra tempor vinculet labentis.\nCopyright 2020")
+    filler, home = sorted(residue.FILLER), ["asdf", "jkl", "a", "wedge", "fall"]
+    texts = [*RESIDUE, *FINE, *(" ".join([w, w, "river"]) for w in filler), *(f"The {x.strip()} of the river" for x in residue._SIGNS)]
+    texts += [", ".join(r.choices(words, k=r.randint(3, 9))) for words in (filler, home, ["foo", "bar"], [*filler[:3], "river"]) for _ in range(200)]
+    texts += ["Page not&nbsp;found", "not \t found", "v&eacute;rifi", "no\u0131t found", "\u017fcripts", "Error&#32;404", "&lt;%= title %&gt;", "see [1_a] and {_b.c}", "[\u017femester]", "a-b a-b", "foo, bar; foo. bar: foo/bar"]
+    suspects = 0
+    for t in texts:
+        for content in (t, f"Site > Menu\n<p>{t}</p>\nx"):
+            found = residue.segments(content)
+            suspect = any(residue.label(s)[0] for s in found)
+            assert residue.has_sign(found) or not suspect, content
+            suspects += suspect
+    assert suspects > 500
+
+
 def test_residue_pages_and_near_variants(spark):
     near = "The file you requested has been removed from it all, sorry."  # near the trusted segment, not itself trusted
     rows = [(1, "Page not found"), (2, "The file you requested has been removed from it all."), (3, near), (4, SENTENCE), (5, None), (6, ""), (1, "Page not found"), (7, "Some error happened in the kitchen, and nobody knows"), (8, "Page not found\n" + SENTENCE * 30), (9, "<noscript>Please enable JavaScript.</noscript><p>x")]
