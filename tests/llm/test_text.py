@@ -119,6 +119,17 @@ def test_notations(text, found):
     assert {markup.LABELS[y] for y in markup.decode(markup.trained(), text.split("\n"))[1]} == found
 
 
+@pytest.mark.parametrize("line", ["The {\\it river} opens.", "A {\\bf bold} word", "{\\em x}", "see {\\small the note}", "{\\Large Notes}", "one {\\bfseries two} three", "a {\\tt cut"])
+def test_switches_are_latex(line):
+    lines = ["Plain words stand here.", line, "And here."]
+    labels, found = markup.decode(markup.trained(), lines)
+    assert {markup.LABELS[y] for y in found} == {"latex"}
+    assert "\\" not in (clean := markup.clean(lines, labels)) and "{" not in clean
+    assert "The river opens." in markup.clean(["The {\\it river} opens."], [markup.LABELS.index("latex")])
+    for plain in ("{\\item", "a {it} slot", "C:\\it\\bf", "{\\italic x}"):
+        assert not markup.decode(markup.trained(), [plain])[1]
+
+
 def test_markup_pages(spark):
     rows = [(1, "# A\r\ntext"), (1, "# A\r\ntext"), (2, "plain"), (3, None), (4, ""), (5, "<ul>\n<li>x &amp; y</li>\n</ul>\n<h2>H</h2>\n<pre>\na &lt; b\n</pre>\n<p>c<sup>2</sup>")]
     df = spark.createDataFrame(rows, PAGES).withColumn("markup", F.lit(1)).withColumn("clean", F.lit(2))

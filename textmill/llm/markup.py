@@ -39,6 +39,7 @@ _ENTITIES = "nbsp|lt|gt|amp|quot|apos|mdash|ndash|hellip|copy|reg|eacute|uuml|ou
 _COMMANDS = (
     "begin|end|section|subsection|subsubsection|chapter|paragraph|part|title|author|emph|textbf|textit|texttt|textsc|underline|cite|citep|citet|ref|eqref|pageref|label|footnote|href|url|frac|sqrt|mathbf|mathrm|text|caption|includegraphics|usepackage|documentclass|input"
 )
+_SWITCHES = "it|bf|em|tt|sc|rm|sf|sl|tiny|scriptsize|footnotesize|small|normalsize|large|Large|LARGE|huge|Huge|itshape|slshape|scshape|upshape|bfseries|mdseries|rmfamily|sffamily|ttfamily"
 
 #: kinds of constructs: (notation, name, pattern)
 CONSTRUCTS = [(g, n, re.compile(p, f)) for g, n, p, f in (
@@ -65,6 +66,7 @@ CONSTRUCTS = [(g, n, re.compile(p, f)) for g, n, p, f in (
     ("wiki", "indent", r"^:{1,4} (?=\S)|^[*#:;]{1,4} ?\[\[|^::", 0),
     ("wiki", "tag", r"<(?:nowiki|ref|math|syntaxhighlight|source lang)[\s/>=]|__(?:NO)?TOC__|^#REDIRECT", 0),
     ("latex", "command", rf"\\(?:{_COMMANDS})\*?(?:\[[^\]]*\])?\{{", 0),
+    ("latex", "switch", rf"\{{\s*\\(?:{_SWITCHES})(?![A-Za-z])", 0),
     ("latex", "item", r"^\s*\\(?:item\b|maketitle|tableofcontents|noindent|hline|centering|newpage|bigskip)", 0),
     ("latex", "math", r"\\\(.+|\\\[.*|^\s*\\\]|\$\$[^$]+\$\$|\$(?=[^\s$\d({])[^$=;]*[_^\\][^$;]*\$", 0),
     ("latex", "quotes", r"``[^`']+''|''\\,|~\\(?:cite|ref)", 0),
@@ -190,7 +192,7 @@ def _block(r: random.Random, notation: str) -> list[tuple[str, str]]:
     return r.choice((
         lambda: one(f"\\{r.choice(('section', 'section*', 'subsection', 'chapter'))}{{{h}}}"), lambda: one(f"\\href{{/{a}/{b}}}{{{h}}}"), lambda: fence("\\begin{verbatim}", "\\end{verbatim}"),
         lambda: [("\\begin{itemize}", notation), *((f"\\item {_sentence(r)}", notation) for _ in range(2)), ("\\end{itemize}", notation)], lambda: one(f"\\item {s}"),
-        lambda: one(_wrapped(r, s, lambda w: r.choice((f"\\textbf{{{w}}}", f"\\emph{{{w}}}", f"``{w}''\\,", f"{w}~\\cite{{k}}", f"{w}\\footnote{{see}}", f"${w}_i$", f"{w} (\\ref{{s1}})")))),
+        lambda: one(_wrapped(r, s, lambda w: r.choice((f"\\textbf{{{w}}}", f"\\emph{{{w}}}", f"{{\\{r.choice(_SWITCHES.split('|'))} {w}}}", f"``{w}''\\,", f"{w}~\\cite{{k}}", f"{w}\\footnote{{see}}", f"${w}_i$", f"{w} (\\ref{{s1}})")))),
         lambda: one(r.choice((r"\[ \sum_{i=1}^{n} a_i^2 \]", r"\( \log i \)", r"$$c = \frac{1}{9}$$", r"where $s^2 \leq 4$ holds"))),
     ))()
 
@@ -295,7 +297,7 @@ def decode(model, lines: list[str]) -> tuple[list[int], set[int]]:
 _INLINE = [(re.compile(p), s) for p, s in (
     (r"<br\s*/?>", " "), (r"(?i)<sup>([^<]*)</sup>", r"^\1"), (r"(?i)<sub>([^<]*)</sub>", r"_\1"), (r"</?[A-Za-z][^<>]*/?>|<!--[^<>]*(?:-->|$)", ""), (r"!?\[([^\[\]]+)\]\([^()\s]+(?:\s+\"[^\"]*\")?\)", r"\1"), (r"\[([^\[\]]+)\]\[\w{1,4}\]", r"\1"),
     (r"\[\[(?:Category|File|Image):[^\[\]]*?([^\[\]|]*)\]\]", ""), (r"\[\[(?:[^\[\]|]*\|)?([^\[\]]+)\]\]", r"\1"), (r"\{\{[A-Za-z][^{}|]*\|[^{}]*\}\}", ""), (r"'{2,3}([^']+)'{2,3}", r"\1"), (r"\*{2,3}([^*]+)\*{2,3}", r"\1"), (r"~~([^~]+)~~", r"\1"), (r"(?<!\w)__([^_]+)__(?!\w)", r"\1"),
-    (r"(?<!`)`([^`]+)`(?!`)", r"\1"), (r"``([^`']+)''(?:\\,)?", "“\\1”"), (r"~?\\(?:cite|ref|label|footnote)\{[^{}]*\}", ""), (r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1"), (r"\\(?:emph|textbf|textit|texttt|underline)\{([^{}]*)\}", r"\1"), (r"\\,", " "),
+    (r"(?<!`)`([^`]+)`(?!`)", r"\1"), (r"``([^`']+)''(?:\\,)?", "“\\1”"), (r"~?\\(?:cite|ref|label|footnote)\{[^{}]*\}", ""), (r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1"), (r"\\(?:emph|textbf|textit|texttt|underline)\{([^{}]*)\}", r"\1"), (rf"\{{\s*\\(?:{_SWITCHES})(?![A-Za-z])\s*([^{{}}]*?)(?:\\/)?(?:\}}|$)", r"\1"), (r"\\,", " "),
 )]
 _HEADINGS = re.compile(r"^\s*(?:#{1,6}\s+(.*)|(={2,6})\s*(.*?)\s*\2|\\(?:section|subsection|subsubsection|chapter|paragraph)\*?\{(.*)\}|<h[1-6][^>]*>(.*?)(?:</h[1-6]>)?)\s*$", re.I)
 _ITEM = re.compile(r"^\s*(?:<li[^>]*>|\\item\b|[*#]{1,4}(?=\s|\[\[)|[-+*](?=\s)|\d+\.(?=\s))\s*", re.I)
