@@ -183,6 +183,19 @@ def test_main_lines(spark, monkeypatch):
     assert text[0].startswith("Story 0 of the river\nSentence") and 103 not in text
 
 
+def test_runs_are_counted_over_all_shards_of_a_host(spark, monkeypatch):
+    notice = "<p>A notice of this site that stands on three of its pages."
+    body = lambda i: "".join(chr(97 + int(d)) for d in f"{i:04}")
+    rows = [(i, "http://h.example/", f"<title>T {body(i)}</title>\n<h1>T {body(i)}</h1>\n<p>Own words of the page {body(i)} stand here.\n" + notice * (i in (3, 170, 411))) for i in range(450)]
+    df = spark.createDataFrame([*rows, rows[3]], "page_id bigint, url string, content string")
+    expected = {(i, n) for i in range(450) for n in (2, 3)}
+    assert {tuple(x) for x in mc.main_lines(df).collect()} == expected
+    monkeypatch.setattr(mc, "SHARD_PAGES", 30)
+    assert {tuple(x) for x in mc.main_lines(df).collect()} == expected
+    two = df.where("page_id <> 411")  # on two pages only, one of them loaded twice
+    assert (3, 4) in {tuple(x) for x in mc.main_lines(two).collect()}
+
+
 def test_repeated_runs_are_covered():
     pages = [mc.Page(f"<p>menu\n<p>one two three four five\n<p>own words of page number {chr(97 + i)} only\n<p>a b\n<p>c d") for i in range(12)]
     for page, cover in zip(pages, mc.covered_tokens(pages), strict=True):

@@ -1,13 +1,15 @@
 """Page boilerplate mixed with main content (problem 5).
 
-The pages of a host are concatenated to one token stream (a token is the text between two tags of a line, numbers masked; a
-separator that occurs once stands between pages). Prefix doubling ranks the suffixes of the stream by their first 1, 2, 4, 8
-tokens; suffixes of equal rank share a substring of that length. Substrings that stand on enough distinct pages and are long
-enough in words are boilerplate, and the tokens they cover are removed. What is left are unique runs; the article is the
+The pages of a host are one token stream (a token is the text between two tags of a line, numbers masked). Prefix doubling
+gives the suffixes of each page fingerprints of their first 1, 2, 4, 8 tokens; suffixes of equal fingerprint share a substring
+of that length. Substrings that stand on ``MIN_PAGES`` distinct pages of the host and are long enough in words are
+boilerplate, and the tokens they cover are removed. What is left are unique runs; the article is the
 unique run that belongs to the page's headline: the rest of the innermost container in which the headline stands (and of the
 sections beside it), or of a page without containers the lines down to the next side block.
 
 A host is worked on in shards of about ``SHARD_PAGES`` pages or ``SHARD_CHARS`` characters, so no task holds a whole large host.
+The shards of a host count their pages by fingerprint, the counts are summed over the host, and every shard gets back those
+of its fingerprints that are repeated on the host; so results don't depend on the shards.
 
 Defined results: null and empty contents, pages without visible text and residue pages (problem 2) give nothing; pages
 without a host are one host; exact duplicate rows count once; a page cut off at its end keeps what is there; a page in which
@@ -16,6 +18,7 @@ no headline is found keeps its unique run with the most words.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -30,7 +33,7 @@ from textmill.operators.skew import heavy_keys
 
 SHARD_PAGES, SHARD_CHARS = 1500, 16_000_000
 MIN_WORDS = 4  # words that a repeated substring must have
-MIN_PAGES, MIN_SHARE = 3, 0.01  # distinct pages of the shard on which it must stand
+MIN_PAGES = 3  # distinct pages of the host on which it must stand
 
 _GONE = re.compile(r"(?is)<(script|style|noscript|title)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body))")
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)(?:</title|\n|$)")
@@ -184,46 +187,69 @@ class Page:
         return self.kind[c] == "section"
 
 
-def covered_tokens(pages: list[Page]) -> list[np.ndarray]:
-    """Per page, which of its tokens lie in a long substring that stands on enough distinct pages."""
+def runs(pages: list[Page]) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """The page of each token, and for 1, 2, 4, 8 tokens the starts and 64-bit fingerprints of the runs within one page that
+    have enough words."""
     ids: dict[str, int] = {}
-    stream, owner, words = [], [], []
-    for p, page in enumerate(pages):
+    stream, words = [], []
+    for page in pages:
         for t in page.tokens:
             stream.append(ids.setdefault(_DIGITS.sub("0", t).lower(), len(ids)))
             words.append(t.count(" ") + 1)
-        owner.extend([p] * len(page.tokens))
-        stream.append(-1 - p)  # a separator of its own
-        owner.append(p)
-        words.append(0)
-    rank = np.unique(np.array(stream, np.int64), return_inverse=True)[1].astype(np.int64)
-    page_of, n = np.array(owner, np.int64), len(stream)
-    weight = np.concatenate([[0], np.cumsum(words)])
-    least = max(MIN_PAGES, int(MIN_SHARE * len(pages)))
-    marks = np.zeros(n + 1, np.int64)
-    length = 1
-    while True:
-        size = int(rank.max()) + 1 if n else 0
-        pairs = np.unique(rank * len(pages) + page_of[: len(rank)])
-        on_pages = np.bincount(pairs // len(pages), minlength=size)
-        at = np.flatnonzero((on_pages[rank] >= least) & (weight[np.arange(len(rank)) + length] - weight[: len(rank)] >= MIN_WORDS))
-        np.add.at(marks, at, 1)
-        np.add.at(marks, at + length, -1)
-        if length == 8 or len(rank) <= length:
+    owner = np.repeat(np.arange(len(pages)), [len(p.tokens) for p in pages])
+    prints = np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest()) for t in ids], np.uint64)
+    prints = prints[np.array(stream, np.int64)]
+    weight = np.concatenate([[0], np.cumsum(np.array(words, np.int64))])
+    found, length = [], 1
+    while len(prints):
+        at = np.flatnonzero((owner[length - 1 :] == owner[: len(prints)]) & (weight[length:] - weight[: len(prints)] >= MIN_WORDS))
+        found.append((length, at, prints[at].view(np.int64)))
+        if length == 8 or len(prints) <= length:
             break
-        rank = np.unique(rank[:-length] * (size + 1) + rank[length:], return_inverse=True)[1].astype(np.int64)
+        prints = _mixed(_mixed(prints[:-length]) + prints[length:])
         length *= 2
-    cover = np.cumsum(marks)[:n] > 0
-    ends = np.flatnonzero(np.array(stream) < 0)
-    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    return [cover[a:b] for a, b in zip(starts, ends, strict=True)]
+    return owner, found
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64, by whose rounds prints are told apart by order and length."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def page_counts(owner: np.ndarray, found: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, number of distinct pages) of runs."""
+    prints = np.concatenate([x for _, _, x in found]) if found else np.zeros(0, np.int64)
+    pages = np.concatenate([owner[at] for _, at, _ in found]) if found else prints
+    order = np.lexsort((pages, prints))
+    prints, pages = prints[order], pages[order]
+    new = np.ones(len(prints), bool)
+    new[1:] = (prints[1:] != prints[:-1]) | (pages[1:] != pages[:-1])
+    return np.unique(prints[new], return_counts=True)
+
+
+def covered_tokens(pages: list[Page], repeated: np.ndarray | None = None) -> list[np.ndarray]:
+    """Per page, which of its tokens lie in a long substring that stands on enough distinct pages: one of the fingerprints
+    ``repeated``, which are counted over ``pages`` where they aren't given."""
+    owner, found = runs(pages)
+    if repeated is None:
+        prints, on_pages = page_counts(owner, found)
+        repeated = prints[on_pages >= MIN_PAGES]
+    marks = np.zeros(len(owner) + 1, np.int64)
+    for length, at, prints in found:
+        at = at[np.isin(prints, repeated)]
+        np.add.at(marks, at, 1)
+        np.add.at(marks, at + length, -1)
+    return np.split(np.cumsum(marks)[:-1] > 0, np.cumsum([len(p.tokens) for p in pages])[:-1])
 
 
-def article_lines(contents: list[str]) -> list[list[int]]:
-    """For the distinct pages of a shard, the numbers of their article lines."""
+def article_lines(contents: list[str], repeated: np.ndarray | None = None) -> list[list[int]]:
+    """For distinct pages of a host, the numbers of their article lines. ``repeated`` as of ``covered_tokens``."""
     pages = [Page(c) for c in contents]
     lines = []
-    for page, content, cover in zip(pages, contents, covered_tokens(pages), strict=True):
+    for page, content, cover in zip(pages, contents, covered_tokens(pages, repeated), strict=True):
         covered, own = [False] * len(page.text), [False] * len(page.text)
         for line, c in zip(page.token_line, cover.tolist(), strict=True):
             covered[line] |= c
@@ -234,40 +260,72 @@ def article_lines(contents: list[str]) -> list[list[int]]:
     return lines
 
 
-def _shard(t: pa.Table) -> pa.Table:
+def _contents(t: pa.Table) -> dict[int, str]:
+    """The content of each distinct page."""
     first: dict[int, str] = {}
     for page, content in zip(t.column("page_id").to_pylist(), t.column("content").to_pylist(), strict=True):
         if page not in first or content > first[page]:
             first[page] = content
+    return first
+
+
+def _shard(t: pa.Table, repeated: np.ndarray | None = None) -> pa.Table:
+    first = _contents(t)
     ids, numbers = [], []
-    for page, found in zip(first, article_lines(list(first.values())), strict=True):
+    for page, found in zip(first, article_lines(list(first.values()), repeated), strict=True):
         ids.extend([page] * len(found))
         numbers.extend(found)
     return pa.table({"page_id": pa.array(ids, pa.int64()), "line_no": pa.array(numbers, pa.int64())})
 
 
+def _texts(t: pa.Table, repeated: np.ndarray | None = None) -> pa.Table:
+    found = _shard(t, repeated).to_pandas().groupby("page_id")["line_no"].apply(list)
+    content = _contents(t)
+    out = [(p, "\n".join(Page(content[p]).text[n - 1] for n in lines)) for p, lines in found.items()]
+    return pa.table({"page_id": pa.array([p for p, _ in out], pa.int64()), "article": pa.array([a for _, a in out], pa.string())})
+
+
 def host_shards(pages: DataFrame) -> DataFrame:
-    """(page_id, content, host, shard): pages with the shard of their host, by page id. The numbers of shards of the hosts with
-    at least a millionth of all characters, the only ones that could be large, are a broadcast of bounded size."""
+    """(page_id, content, host, shard, split): pages with the shard of their host, by page id, and whether the host has several.
+    The numbers of shards of the hosts with at least a millionth of all characters, the only ones that could be large, are a
+    broadcast of bounded size."""
     rows = pages.where(F.col("page_id").isNotNull() & (F.col("content") != "")).select(F.col("page_id").cast("bigint").alias("page_id"), "content", F.coalesce(site_of(F.col("url")), F.lit("")).alias("host"))
     sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
     shards = F.ceil(F.greatest(F.col("n") / SHARD_PAGES, F.col("chars") / SHARD_CHARS)).cast("int")
     large = heavy_keys(sizes, "chars", 1, 1_000_000).select("host", shards.alias("shards")).where("shards > 1")
-    return rows.join(F.broadcast(large), "host", "left").select("page_id", "content", "host", F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"))
+    shard = F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))).cast("int")
+    return rows.join(F.broadcast(large), "host", "left").select("page_id", "content", F.xxhash64("host").alias("host"), shard.alias("shard"), F.col("shards").isNotNull().alias("split"))
+
+
+def _counts(t: pa.Table) -> pa.Table:
+    prints, on_pages = page_counts(*runs([Page(c) for c in _contents(t).values()]))
+    n = len(prints)
+    return pa.table({"host": pa.array(np.full(n, t.column("host")[0].as_py(), np.int64)), "shard": pa.array(np.full(n, t.column("shard")[0].as_py(), np.int32)), "run": pa.array(prints), "n": pa.array(on_pages.astype(np.int32))})
+
+
+def repeated_runs(split: DataFrame) -> DataFrame:
+    """(host, shard, run): of each shard of the split hosts, the runs that stand on enough distinct pages of the host. A page
+    is in one shard only, so the shards' counts of distinct pages add up."""
+    counts = split.groupBy("host", "shard").applyInArrow(_counts, "host bigint, shard int, run bigint, n int")
+    hosts = counts.groupBy("host", "run").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shards")).where(F.col("n") >= MIN_PAGES)
+    return hosts.select("host", F.explode("shards").alias("shard"), "run")
+
+
+def _by_host(pages: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the pages of every host, with the runs repeated on the host."""
+    rows = host_shards(pages)
+    whole = rows.where(~F.col("split")).select("page_id", "content", "host").groupBy("host").applyInArrow(lambda t: work(t), schema)
+    split = rows.where("split").select("page_id", "content", "host", "shard")
+    keys = ("host", "shard")
+    parts = split.groupBy(*keys).cogroup(repeated_runs(split).groupBy(*keys)).applyInArrow(lambda t, runs: work(t, runs.column("run").to_numpy()), schema)
+    return whole.unionByName(parts)
 
 
 def main_lines(pages: DataFrame) -> DataFrame:
     """(page_id, line_no): the lines of each page's article."""
-    return host_shards(pages).groupBy("host", "shard").applyInArrow(_shard, "page_id bigint, line_no bigint")
+    return _by_host(pages, _shard, "page_id bigint, line_no bigint")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, article): the visible text of the article lines of each page that has any, a line each."""
-
-    def texts(t: pa.Table) -> pa.Table:
-        found = _shard(t).to_pandas().groupby("page_id")["line_no"].apply(list)
-        content = dict(zip(t.column("page_id").to_pylist(), t.column("content").to_pylist(), strict=True))
-        out = [(p, "\n".join(Page(content[p]).text[n - 1] for n in lines)) for p, lines in found.items()]
-        return pa.table({"page_id": pa.array([p for p, _ in out], pa.int64()), "article": pa.array([a for _, a in out], pa.string())})
-
-    return host_shards(pages).groupBy("host", "shard").applyInArrow(texts, "page_id bigint, article string")
+    return _by_host(pages, _texts, "page_id bigint, article string")
