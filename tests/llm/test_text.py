@@ -196,6 +196,15 @@ def test_runs_are_counted_over_all_shards_of_a_host(spark, monkeypatch):
     assert (3, 4) in {tuple(x) for x in mc.main_lines(two).collect()}
 
 
+def test_residue_pages_have_no_article(spark):
+    near = "The file you requested has been removed from it all, sorry."  # residue only by a link to a segment of another table
+    rows = [(1, "<title>Page not found | Site</title>\n<h1>Page not found</h1>"), (2, f"<title>x</title>\n<p>{near}"), (3, f"<title>T</title>\n<h1>T</h1>\n<p>{SENTENCE}")]
+    pages = spark.createDataFrame([(i, "http://h.example", c) for i, c in rows], "page_id bigint, url string, content string")
+    other = spark.createDataFrame([(9, "The file you requested has been removed from it all.")], PAGES)
+    assert {tuple(x) for x in mc.main_lines(pages, other).collect()} == {(3, 2), (3, 3)}
+    assert [r.page_id for r in mc.main_text(pages, other).collect()] == [3]
+
+
 def test_repeated_runs_are_covered():
     pages = [mc.Page(f"<p>menu\n<p>one two three four five\n<p>own words of page number {chr(97 + i)} only\n<p>a b\n<p>c d") for i in range(12)]
     for page, cover in zip(pages, mc.covered_tokens(pages), strict=True):

@@ -70,7 +70,6 @@ class Page:
         self.home: list[int] = []  # innermost container of each line
         self.parent, self.kind = [0], ["body"]  # containers; 0 is the body
         self.pre: list[bool] = []
-        self.titled = False  # whether a line repeats the title
         self.tokens: list[str] = []
         self.token_line: list[int] = []
         self._read()
@@ -138,7 +137,6 @@ class Page:
             if not t or self.aside(self.home[n]):
                 continue
             if t in wanted or "  " in t and " ".join(t.split()) in wanted:
-                self.titled = True
                 return n
             if first is None and not covered[n] and not self.pre[n] and _HEADING.search(self.raw[n]):
                 first = n
@@ -249,14 +247,12 @@ def article_lines(contents: list[str], repeated: np.ndarray | None = None) -> li
     """For distinct pages of a host, the numbers of their article lines. ``repeated`` as of ``covered_tokens``."""
     pages = [Page(c) for c in contents]
     lines = []
-    for page, content, cover in zip(pages, contents, covered_tokens(pages, repeated), strict=True):
+    for page, cover in zip(pages, covered_tokens(pages, repeated), strict=True):
         covered, own = [False] * len(page.text), [False] * len(page.text)
         for line, c in zip(page.token_line, cover.tolist(), strict=True):
             covered[line] |= c
             own[line] |= not c
-        found = page.article([c and not o for c, o in zip(covered, own, strict=True)])
-        # where the title stands above the text there is an article; elsewhere the page may be residue
-        lines.append([] if found and not page.titled and residue.is_residue(content) else found)
+        lines.append(page.article([c and not o for c, o in zip(covered, own, strict=True)]))
     return lines
 
 
@@ -311,21 +307,21 @@ def repeated_runs(split: DataFrame) -> DataFrame:
     return hosts.select("host", F.explode("shards").alias("shard"), "run")
 
 
-def _by_host(pages: DataFrame, work, schema: str) -> DataFrame:
-    """``work`` on the pages of every host, with the runs repeated on the host."""
+def _by_host(pages: DataFrame, others: tuple[DataFrame, ...], work, schema: str) -> DataFrame:
+    """``work`` on the pages of every host, with the runs repeated on the host; without residue pages, which are found in all tables."""
     rows = host_shards(pages)
     whole = rows.where(~F.col("split")).select("page_id", "content", "host").groupBy("host").applyInArrow(lambda t: work(t), schema)
     split = rows.where("split").select("page_id", "content", "host", "shard")
     keys = ("host", "shard")
     parts = split.groupBy(*keys).cogroup(repeated_runs(split).groupBy(*keys)).applyInArrow(lambda t, runs: work(t, runs.column("run").to_numpy()), schema)
-    return whole.unionByName(parts)
+    return whole.unionByName(parts).join(residue.residue_pages(pages, *others), "page_id", "left_anti")
 
 
-def main_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, line_no): the lines of each page's article."""
-    return _by_host(pages, _shard, "page_id bigint, line_no bigint")
+def main_lines(pages: DataFrame, *others: DataFrame) -> DataFrame:
+    """(page_id, line_no): the lines of each page's article. Residue is that of problem 2 in ``pages`` and ``others``."""
+    return _by_host(pages, others, _shard, "page_id bigint, line_no bigint")
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, article): the visible text of the article lines of each page that has any, a line each."""
-    return _by_host(pages, _texts, "page_id bigint, article string")
+def main_text(pages: DataFrame, *others: DataFrame) -> DataFrame:
+    """(page_id, article): the visible text of the article lines of each page that has any, a line each. ``others`` as of ``main_lines``."""
+    return _by_host(pages, others, _texts, "page_id bigint, article string")

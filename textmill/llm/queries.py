@@ -15,8 +15,8 @@ QUERIES = {
     "p3_clean": lambda spark, d: markup.clean_pages(table(spark, d, "text_pages")),
     "p4_found": lambda spark, d: site_lines.repeated_line_numbers(table(spark, d, "text_pages")),
     "p4_clean": lambda spark, d: site_lines.without_repeated_lines(table(spark, d, "text_pages")),
-    "p5_found": lambda spark, d: main_content.main_lines(table(spark, d, "pages")),
-    "p5_text": lambda spark, d: main_content.main_text(table(spark, d, "pages")),
+    "p5_found": lambda spark, d: main_content.main_lines(table(spark, d, "pages"), table(spark, d, "text_pages")),
+    "p5_text": lambda spark, d: main_content.main_text(table(spark, d, "pages"), table(spark, d, "text_pages")),
     "p7_found": lambda spark, d: encoding_repair.garbled_pages(table(spark, d, "pages"), table(spark, d, "text_pages")),
     "p7_repaired": lambda spark, d: encoding_repair.repaired_pages(table(spark, d, "pages"), table(spark, d, "text_pages")),
     "p8_ids": lambda spark, d: token_ids.encode_documents(table(spark, d, "documents")),
