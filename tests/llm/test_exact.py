@@ -131,6 +131,18 @@ def test_repeated_lines(spark):
     assert site_lines.repeated_line_numbers(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [4095, 4096, 4097])
+def test_containers_at_the_edge_of_density(n):
+    values = np.random.default_rng(n).choice(65536, n, replace=False)
+    key = np.zeros(n, np.int64)
+    (_, packed, sizes) = site_lines.pack((key,), values)
+    rows, got = site_lines.unpack(packed)
+    assert sizes.tolist() == [n] and got.tolist() == sorted(values.tolist()) and not rows.any()
+    halves = [site_lines._emit(*site_lines.pack((k, k, k, k), v)) for v in (values[:2000], values[1000:]) for k in [np.zeros(len(v), np.int64)]]
+    united = pa.Table.from_batches(site_lines._unite(iter(halves)))
+    assert united.column("n").to_pylist() == [n] and site_lines.unpack(united.column("pages").combine_chunks())[1].tolist() == sorted(values.tolist())
+
+
 def test_containers_round_trip():
     r = np.random.default_rng(1)
     values = np.concatenate([r.choice(65536, 9000, False), r.choice(65536, 5, False)])

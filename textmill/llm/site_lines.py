@@ -1,10 +1,11 @@
 """Lines repeated across one site's documents (problem 4).
 
-Every line variant (the line as written) keeps its pages as compressed bitmaps, one container for each 2^16 page ids: sorted
-16-bit values while sparse, 8 KB of bits when dense. Tasks build containers from their own rows, so a line that stands on
-millions of pages leaves each task as a few bytes per page at most; containers of one line (all its variants) are united
-after a shuffle by (line, container), their exact sizes are summed to one cardinality, and the lines over the threshold are
-deleted from each page by looking the page up in their bitmaps.
+Line variants (the line as written) are brought to their form and fingerprinted first, which unites them before anything is
+counted. Every form keeps its pages as compressed bitmaps, one container for each 2^16 page ids: sorted 16-bit values while
+sparse, 8 KB of bits when dense. Tasks build containers from their own rows, so a line that stands on
+millions of pages leaves each task as a few bytes per page at most; containers of one line are united after a
+shuffle by (line, container), their exact sizes are summed to one cardinality, and the members of the bitmaps of the lines over
+the threshold are joined to the pages' lines, which are deleted.
 
 Defined results: rows without a site (null, empty or unusable url) or with null page id give nothing; null content counts
 as a page of the site without lines; lines without a letter never count; exact duplicate rows count once; rows of one page
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from textmill.operators.skew import salted_join
 
-DENSE = 4096  # values from which a container is stored as bits
+DENSE = 4096  # values from which a container is stored as bits; so only those have 8,192 bytes
 
 
 def site_of(url: Column) -> Column:
@@ -59,10 +60,10 @@ def pack(groups: tuple[np.ndarray, ...], low: np.ndarray) -> tuple[list[np.ndarr
     groups, low = [g[first] for g in groups], low[first].astype("<u2")
     starts = _boundaries(*groups)
     sizes = np.diff(np.append(starts, len(low)))
-    if (sizes > DENSE).any():
+    if (sizes >= DENSE).any():
         blobs = []
         for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-            if n > DENSE:
+            if n >= DENSE:
                 bits = np.zeros(65536, np.uint8)
                 bits[low[s : s + n]] = 1
                 blobs.append(np.packbits(bits).tobytes())
