@@ -68,6 +68,19 @@ def test_residue_pages_and_near_variants(spark):
     assert residue.residue_pages(df, df).count() == 3
 
 
+def test_residue_is_left_out_of_all_tables(spark, tmp_path):
+    from textmill.llm.queries import QUERIES
+
+    columns = "page_id bigint, path string, url string, content string"
+    near = "The file you requested has been removed from it all, sorry."  # linked to a trusted segment that only pages have
+    pages = [(1, "The file you requested has been removed from it all."), (2, SENTENCE), (3, "Page not found")]
+    texts = [(11, near), (12, SENTENCE), (13, "Page not found"), (14, None)]
+    for name, rows in (("pages", pages), ("text_pages", texts)):
+        spark.createDataFrame([(i, f"p{i}", None, c) for i, c in rows], columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {r.page_id for r in QUERIES["p2_found"](spark, str(tmp_path)).collect()} == {1, 3, 11, 13}
+    assert {tuple(r) for r in QUERIES["p2_clean"](spark, str(tmp_path)).collect()} == {(2, "p2"), (12, "p12"), (14, "p14")}
+
+
 def test_simhash_tables_find_all_near_links(spark):
     r = random.Random(2)
     base = ["".join(r.choice("abcdefgh ") for _ in range(60)) for _ in range(30)]

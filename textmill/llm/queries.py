@@ -10,7 +10,7 @@ QUERIES = {
     "p1_found": lambda spark, d: distinctive_terms.dominant_terms(table(spark, d, "postings")),
     "p1_scores": lambda spark, d: _rounded(distinctive_terms.score_terms(table(spark, d, "postings"))),
     "p2_found": lambda spark, d: residue.residue_pages(table(spark, d, "pages"), table(spark, d, "text_pages")),
-    "p2_clean": lambda spark, d: residue.without_residue(table(spark, d, "text_pages")).select("page_id", "path"),
+    "p2_clean": lambda spark, d: residue.without_residue(table(spark, d, "pages"), table(spark, d, "text_pages")).select("page_id", "path"),
     "p3_found": lambda spark, d: markup.markup_pages(table(spark, d, "text_pages")),
     "p3_clean": lambda spark, d: markup.clean_pages(table(spark, d, "text_pages")),
     "p4_found": lambda spark, d: site_lines.repeated_line_numbers(table(spark, d, "text_pages")),

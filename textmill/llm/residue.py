@@ -234,9 +234,12 @@ def residue_pages(*tables: DataFrame) -> DataFrame:
     return salted_join(found, labelled_segments(found), ["segment"], F.col("page_id")).select("page_id").distinct()
 
 
-def without_residue(table: DataFrame) -> DataFrame:
-    """The rows of one table that are no residue, with all their columns."""
-    return table.join(residue_pages(table), "page_id", "left_anti")
+def without_residue(*tables: DataFrame) -> DataFrame:
+    """The rows of the tables (of the same columns) that are no residue, with all their columns. Residue is found in all of them."""
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t)
+    return rows.join(residue_pages(*tables), "page_id", "left_anti")
 
 
 def is_residue(content: str) -> bool:
