@@ -264,6 +264,29 @@ def test_round_trip_repair():
     assert seen > 300 and restored / seen > 0.8
 
 
+@pytest.mark.parametrize(("word", "read"), [("compõe", "iso8859_2 latin-1 cp1250"), ("búsqueda", "latin-1 latin-1 cp1252"), ("très", "cp1250 latin-1 cp850"), ("Überblick", "iso8859_2 iso8859_2 mac_roman"), ("проверяет", "iso8859_2 cp850 mac_roman")])
+def test_three_layers_are_restored(word, read):
+    bad = word
+    for encoding in read.split():
+        bad = bad.encode().decode(encoding)
+    assert repairer().judge(bad) == (True, word)
+
+
+def test_no_shorter_reading_is_passed_over():
+    class Fixed(er.Repairer):
+        def cost(self, word):
+            return {"éééé": 100.0, "ééé": 99.0, "né": 1.0}.get(word, 96.0)
+
+        def readings(self, word, controls=False):
+            if word == "éééé":
+                yield from ((x * 4, 0.0) for x in "abcdefghijáàâäãå")  # cheaper, but as long or plain
+                yield "ééé", 0.0
+            if word == "ééé":
+                yield "né", 0.0
+
+    assert Fixed({("a", "b"): 1}).repaired("éééé") == "né"
+
+
 def test_right_text_is_not_garbled():
     r = repairer()
     assert not any(er.judge_text(r, t)[0] or any(map(r.garbled, er.hard_words(t))) for t in RIGHT)

@@ -96,8 +96,9 @@ class Repairer:
             bits += self.ends.get(before) or unseen.get(before, 20.0)
         return bits + 12 * bool(_SIGN_IN_WORD.search(word)) + 40 * word.count(_MARK)
 
-    def readings(self, word: str) -> Iterator[tuple[str, float]]:
-        """Texts that one wrong decoding would have turned into ``word``, with what speaks for them beside their cost."""
+    def readings(self, word: str, controls: bool = False) -> Iterator[tuple[str, float]]:
+        """Texts that one wrong decoding would have turned into ``word``, with what speaks for them beside their cost. Those with
+        controls are no right text, but may hold a further layer."""
         done, read = {word}, set()
         for wrong in READ_AS:
             data = read_bytes(word, wrong)
@@ -109,7 +110,7 @@ class Repairer:
                     text = data.decode(intended)
                 except UnicodeDecodeError:
                     continue
-                if text not in done and not _CONTROL.search(text):
+                if text not in done and (controls or not _CONTROL.search(text)):
                     done.add(text)
                     yield text, MULTIBYTE if intended == "utf-8" else 0.0
 
@@ -118,13 +119,17 @@ class Repairer:
         best, least = word, self.cost(word) - MIN_DROP
         if least < 1:
             return word
-        layer = [word]
+        layer, followed = [word], {word}
         for _ in range(LAYERS):
-            found = sorted((self.cost(t) - more, t) for w in layer for t, more in self.readings(w))
-            if found and found[0][0] < least:
-                least, best = found[0]
-            # only a reading with fewer characters can hold a further layer of a multi-byte encoding
-            layer = [t for _, t in found[:6] if len(t) < len(word) and not t.isascii()]
+            found: dict[str, float] = {}
+            for w in layer:
+                for t, more in self.readings(w, controls=True):
+                    found[t] = max(more, found.get(t, 0.0))
+            costs = [(self.cost(t) - more, t) for t, more in found.items() if not _CONTROL.search(t)]
+            least, best = min([(least, best), *(c for c in costs if c[0] < least)])
+            # only a reading with fewer characters can hold a further layer of a multi-byte encoding; all of these are followed
+            layer = [t for t in found if len(t) < len(word) and not t.isascii() and t not in followed]
+            followed.update(layer)
         return best
 
     def garbled(self, word: str) -> bool:
