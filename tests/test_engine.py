@@ -112,6 +112,27 @@ def test_lemmatized_index(spark, tmp_path):
     assert e.search("dogs", mode="strict").count() == 0  # the surface form itself isn't indexed
 
 
+def test_extended_index_keeps_its_options(spark, tmp_path):
+    def same(rows, split, options, name):
+        old, more = (spark.createDataFrame(x, SCHEMA) for x in (rows[:split], rows[split:]))
+        got = Engine.build(spark, old, str(tmp_path / f"{name}o"), options).extended(more, str(tmp_path / f"{name}e"))
+        whole = Engine.build(spark, old.unionByName(more), str(tmp_path / f"{name}w"), options)
+        for t in ("postings", "vectors", "documents"):
+            a, b = getattr(got, t), getattr(whole, t)
+            assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        assert got.page_count == whole.page_count
+        return got
+
+    texts = ["<p>old queries of horses and <b>horse</b>", "<p>a query", "<h1>queries</h1> again hors", "<p>other"]
+    lemmas = same([(i, f"p{i}", f"http://x/{i}", t) for i, t in enumerate(texts)], 1, IndexOptions(lemmatize=True), "l")
+    for q in ("query", "queries"):
+        assert {r.doc_id for r in lemmas.search(q).collect()} == {0, 1, 2}
+    long = " ".join(f"word{i}" for i in range(400))
+    texts = {5: long + " one", 6: long + " two", 7: "something else", 3: "new page", 8: long + " three", 9: "new page", 10: "something else", 11: None}
+    near = same([(i, f"p{i}", f"http://x/{i}", t) for i, t in texts.items()], 3, IndexOptions(drop_near_duplicates=True), "n")
+    assert {r.doc_id for r in near.documents.collect()} == {5, 7, 3}
+
+
 def test_near_duplicates_are_left_out(spark, tmp_path):
     rows = [(1, "p", "u1", "alpha beta gamma"), (2, "q", "u2", "alpha beta gamma"), (3, "r", "u3", "other words here"), (4, "s", "u4", None)]
     e = Engine.build(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path / "d"), IndexOptions(drop_near_duplicates=True))

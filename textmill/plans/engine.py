@@ -26,7 +26,9 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str, summarize: Callable[[str], str] | None = None) -> None:
         self.spark, self.path, self.summarize = spark, path, summarize
         tables = store.load(spark, path)
-        self.postings, self.vectors, self.norms, self.documents = (tables[t] for t in ("postings", "vectors", "norms", "documents"))
+        self.postings, self.norms, self.documents = (tables[t] for t in ("postings", "norms", "documents"))
+        self.vectors = tables["vectors"].select("doc_id", "token", "n")
+        self._surface = tables["vectors"]
         facts = tables["manifest"].first()
         self.page_count, self.name, self.options = facts.n_docs, facts.name, IndexOptions(*(facts[k] for k in IndexOptions.__dataclass_fields__))
 
@@ -35,27 +37,43 @@ class Engine:
         """Index pages (doc_id, path, url, content); rows without content are skipped, older content at ``path`` is replaced.
         Tag counts and vectors come from one parse."""
         options = options or IndexOptions()
-        docs = pages.where(F.col("content").isNotNull())
+        docs, hashes = pages.where(F.col("content").isNotNull()), None
         if options.drop_near_duplicates:
-            docs = docs.join(sh.kept(sh.simhashes(docs, "doc_id", "content")), "doc_id", "left_semi")
-        counts = po.tag_frequencies(docs, "doc_id", "content").persist()
-        vectors = counts.select("doc_id", "token", F.col("tf").alias("n"))
+            hashes = sh.simhashes(docs, "doc_id", "content")
+            docs = docs.join(sh.kept(hashes), "doc_id", "left_semi")
+        Engine._write(path, options, po.tag_frequencies(docs, "doc_id", "content"), docs.select("doc_id", "path", "url"), hashes)
+        return Engine(spark, path)
+
+    @staticmethod
+    def _write(path: str, options: IndexOptions, counts: DataFrame, documents: DataFrame, hashes: DataFrame | None) -> None:
+        """Save an index of surface tag counts. With lemmas the vectors keep the tag counts, from which lemmas are made anew."""
+        counts = counts.persist()
+        vectors = surface = counts.select("doc_id", "token", F.col("tf").alias("n"))
         indexed = counts
         if options.lemmatize:
             lemmas = wo.lemma_map(counts.select("token").distinct())
             sums = [F.sum(c).alias(c) for c in (*(f"f_{t}" for t in TAGS), "tf")]
             indexed = counts.join(lemmas, "token").groupBy("doc_id", F.col("lemma").alias("token")).agg(*sums)
-        store.save(path, options, indexed, vectors, po.norms(vectors), docs.select("doc_id", "path", "url"))
+            surface = counts.withColumnRenamed("tf", "n")
+        store.save(path, options, indexed, surface, po.norms(vectors), documents, hashes)
         counts.unpersist()
-        return Engine(spark, path)
 
     def extended(self, pages: DataFrame, path: str) -> Engine:
-        """A new index at ``path`` of this one's documents and more pages (ids not used before): the union of both runs. df and
-        page count are counted anew from the united postings."""
-        more = po.tag_frequencies(pages.where(F.col("content").isNotNull()), "doc_id", "content")
-        vectors = self.vectors.unionByName(more.select("doc_id", "token", F.col("tf").alias("n")))
-        documents = self.documents.unionByName(pages.where(F.col("content").isNotNull()).select("doc_id", "path", "url"))
-        store.save(path, self.options, self.postings.unionByName(more), vectors, po.norms(vectors), documents)
+        """A new index at ``path`` of this one's documents and more pages (ids not used before): what a build of all of them with
+        this index's options gives. Lemmas are found over the old and new vocabulary, near duplicates over old and new pages (also those left
+        out before). df and page count are counted anew."""
+        old, documents, hashes = self.postings, self.documents, None
+        docs = pages.where(F.col("content").isNotNull())
+        if self.options.lemmatize:
+            if "f_other" not in self._surface.columns:
+                raise ValueError("the index holds no tag counts of surface forms; build it anew")
+            old = self._surface.withColumnRenamed("n", "tf")
+        if self.options.drop_near_duplicates:
+            hashes = store.load_hashes(self.spark, self.path).unionByName(sh.simhashes(docs, "doc_id", "content"))
+            kept = sh.kept(hashes)
+            old, documents, docs = (t.join(kept, "doc_id", "left_semi") for t in (old, documents, docs))
+        counts = old.unionByName(po.tag_frequencies(docs, "doc_id", "content"))
+        Engine._write(path, self.options, counts, documents.unionByName(docs.select("doc_id", "path", "url")), hashes)
         return Engine(self.spark, path)
 
     def tokens(self) -> DataFrame:

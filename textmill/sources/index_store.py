@@ -1,7 +1,8 @@
 """An index on disk: a folder of Parquet tables.
 
 ``postings`` (range-partitioned and sorted by token, so a lookup reads the row groups whose minimum and maximum enclose it),
-``vectors`` (raw counts, hash-partitioned by document), ``norms``, ``documents`` and a one-row ``manifest`` with the number of documents,
+``vectors`` (raw counts, hash-partitioned by document; with lemmas also by tag), ``norms``, ``documents``, ``hashes`` (where near
+duplicates are left out) and a one-row ``manifest`` with the number of documents,
 the name and the options. Readers see a build only once its manifest is there; it is written last.
 """
 
@@ -27,7 +28,7 @@ class IndexOptions:
 TABLES = ("postings", "vectors", "norms", "documents", "manifest")
 
 
-def save(path: str, options: IndexOptions, postings: DataFrame, vectors: DataFrame, norms: DataFrame, documents: DataFrame) -> None:
+def save(path: str, options: IndexOptions, postings: DataFrame, vectors: DataFrame, norms: DataFrame, documents: DataFrame, hashes: DataFrame | None = None) -> None:
     """Write all tables, replacing an older index at ``path``."""
     spark = postings.sparkSession
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -35,6 +36,8 @@ def save(path: str, options: IndexOptions, postings: DataFrame, vectors: DataFra
     vectors.repartition(partitions, "doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/vectors")
     norms.write.mode("overwrite").parquet(f"{path}/norms")
     documents.write.mode("overwrite").parquet(f"{path}/documents")
+    if hashes is not None:
+        hashes.write.mode("overwrite").parquet(f"{path}/hashes")
     n_docs = spark.read.parquet(f"{path}/documents").agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"))
     facts = n_docs.select("n_docs", *(F.lit(v).alias(k) for k, v in asdict(options).items()))
     facts.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
@@ -44,6 +47,11 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
 
 
+def load_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """SimHashes of all pages of an index without near duplicates, also of those left out."""
+    return spark.read.parquet(f"{path}/hashes")
+
+
 def size_kb(spark: SparkSession, path: str) -> DataFrame:
     """(files, kb) of the postings on disk."""
     files = spark.read.parquet(f"{path}/postings").select("_metadata.file_path", "_metadata.file_size").distinct()
