@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from textmill.llm import distinctive_terms, encoding_repair, leaks, main_content, markup, residue, site_lines, token_ids, visual_form
-from textmill.llm.visual_form import form_sql
+from textmill.llm.visual_form import INVISIBLE, LOOK_ALIKES, SPACES
 from textmill.sources.tables import table
 
 QUERIES = {
@@ -58,7 +60,19 @@ chosen AS (
   GROUP BY l.site, l.form, p.n HAVING count(DISTINCT l.page_id) >= 4 AND count(DISTINCT l.page_id) * 5 >= p.n),
 found AS (SELECT DISTINCT l.page_id, l.line_no FROM lines l JOIN chosen c ON c.site = l.site AND c.form = l.form)"""
 
-_FORMED = f"formed AS (SELECT doc_id, text, {form_sql('text')} AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)"
+def _by_character(text: str) -> str:
+    """The one form of problem 10 a character at a time, without the expression of the operator: full-width signs by the distance
+    of their block, half-width ones and look-alikes by a map, spaces and invisible characters by patterns."""
+    latin = {a: b for letters, like in LOOK_ALIKES.values() for a, b in zip(letters, like, strict=True)}
+    halves = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (*range(0xFF5F, 0xFFEF),) if len(unicodedata.normalize("NFKC", chr(c))) == 1}
+    table = {a: b for a, b in (halves | latin).items() if a != b}
+    known = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in table.items()) + "}"
+    shown = f"regexp_replace(nfc_normalize(regexp_replace({text}, '{INVISIBLE}', '', 'g')), '[{SPACES}]', ' ', 'g')"
+    one = f"CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248) ELSE coalesce({known}[c], c) END"
+    return f"CASE WHEN {text} = '' THEN '' ELSE nfc_normalize(array_to_string(list_transform(string_split({shown}, ''), lambda c: {one}), '')) END"
+
+
+_FORMED = f"formed AS (SELECT doc_id, text, {_by_character('text')} AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)"
 
 SQL = {
     "p1_found": f"""WITH {_COUNTS},
@@ -81,7 +95,7 @@ FROM cells""",
     "p4_found": f"WITH {_LINES} SELECT page_id, CAST(line_no AS BIGINT) AS line_no FROM found",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": rf"""WITH {_FORMED},
-items AS (SELECT item_id, {form_sql("text")} AS form FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+items AS (SELECT item_id, {_by_character("text")} AS form FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 dw AS (SELECT doc_id, regexp_extract_all(lower(form), '[\p{{L}}\p{{N}}]+') AS w FROM formed),
 iw AS (SELECT item_id, regexp_extract_all(lower(form), '[\p{{L}}\p{{N}}]+') AS w FROM items),
 dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM dw WHERE len(w) >= 12),
@@ -91,7 +105,7 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON ig.g = dg.g""",
 lettered AS (SELECT * FROM formed WHERE regexp_matches(form, '\p{{L}}'))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b
 FROM lettered a JOIN lettered b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
-    "p10_form": f"SELECT doc_id, {form_sql('text')} AS form FROM documents",
+    "p10_form": f"SELECT doc_id, {_by_character('text')} AS form FROM documents",
     "p10_classes": f"""WITH {_FORMED}
 SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, text <> form AS changed FROM formed""",
 }

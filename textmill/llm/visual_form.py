@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.operators.skew import salted_join
+from textmill.session import cut_lineage
 
 # Letters of other scripts and the Latin letters of the same shape.
 LOOK_ALIKES = {
@@ -51,21 +52,23 @@ def form_sql(column: str) -> str:
 
 
 class FormSql:
-    """A DuckDB connection of one worker; ``of`` maps an Arrow array of texts to their forms, in order."""
+    """A DuckDB connection of one worker; ``of`` maps an Arrow array of texts to their forms, ``columns`` to what ``sql`` selects,
+    in order."""
 
     def __init__(self) -> None:
         self.db = duckdb.connect(config={"threads": 1})
         self.sql = f"SELECT {form_sql('text')} AS form FROM batch ORDER BY n"
 
-    def of(self, texts: pa.Array) -> pa.Array:
-        if not len(texts):
-            return pa.array([], pa.string())
+    def columns(self, texts: pa.Array) -> list[pa.Array]:
         self.db.register("batch", pa.table({"n": pa.array(range(len(texts)), pa.int64()), "text": texts.cast(pa.string())}))
         try:
-            got = self.db.sql(self.sql).to_arrow_table().column("form")
+            got = self.db.sql(self.sql).to_arrow_table()
         finally:
             self.db.unregister("batch")
-        return pa.concat_arrays(got.chunks).cast(pa.string()) if got.num_chunks else pa.array([], pa.string())
+        return [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in got.columns]
+
+    def of(self, texts: pa.Array) -> pa.Array:
+        return self.columns(texts)[0].cast(pa.string()) if len(texts) else pa.array([], pa.string())
 
 
 def _add_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,17 +84,38 @@ def one_form(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(_add_form, f"{key} {kind}, text string, form string")
 
 
+PRINTS = ("f1", "f2", "t1", "t2", "lettered", "changed")
+
+
+def _add_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    duck = FormSql()
+    digests = ", ".join(f"md5_number_{half}({column})" for column in ("form", "text") for half in ("lower", "upper"))
+    duck.sql = f"SELECT {digests}, regexp_matches(form, '\\p{{L}}'), text <> form FROM (SELECT n, text, {form_sql('text')} AS form FROM batch) ORDER BY n"
+    for b in batches:
+        if b.num_rows:
+            *halves, lettered, changed = duck.columns(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(h.to_numpy().view("int64")) for h in halves), lettered, changed], ["doc_id", *PRINTS])
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, f1, f2, t1, t2, lettered, changed) of every row with a text: 128-bit digests of form and text, whether the form
+    has a letter and whether the text differs from it. Made in the embedded SQL in one pass, so no text leaves a worker."""
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_add_prints, "doc_id bigint, f1 bigint, f2 bigint, t1 bigint, t2 bigint, lettered boolean, changed boolean")
+
+
 def look_alike_pairs(docs: DataFrame, salts: int = 16) -> DataFrame:
     """(doc_id_a, doc_id_b), smaller first: documents whose texts differ as strings and have the same form with a letter.
 
-    Only 128-bit fingerprints of form and text are shuffled. A form with one distinct text (however many exact copies) is
-    dropped by a partial aggregate before any join; the surviving forms are joined with salts. The pairs themselves are
-    the stated result. Rows of one doc_id are taken once per distinct text."""
-    formed = one_form(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), "doc_id", "text").where(F.col("form").rlike(r"\p{L}"))
-    prints = formed.select("doc_id", *_print128("form", "f"), *_print128("text", "t"))
+    The fingerprints are made once and kept in the checkpoint folder; only they are shuffled. A form with one distinct text
+    (however many exact copies) is dropped by a partial aggregate before any join; the surviving forms are joined with salts.
+    The pairs themselves are the stated result, those of two altered texts included. Rows of one doc_id are taken once per
+    distinct text."""
+    prints = cut_lineage(fingerprints(docs).where("lettered").drop("lettered", "changed"))
     both = F.struct("t1", "t2")
     mixed = prints.groupBy("f1", "f2").agg(F.min(both).alias("lo"), F.max(both).alias("hi")).where(F.col("lo") != F.col("hi")).select("f1", "f2")
-    kept = salted_join(prints, mixed, ["f1", "f2"], F.col("doc_id"), salts)
+    kept = salted_join(prints, mixed, ["f1", "f2"], F.col("doc_id"), salts).select("f1", "f2", "doc_id", "t1", "t2").distinct()
+    kept = cut_lineage(kept)
     a = kept.select("f1", "f2", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "t1", "t2")))
     b = kept.select("f1", "f2", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "t1", "t2")))
     pairs = salted_join(a, b, ["f1", "f2"], F.col("doc_id_a"), salts)
@@ -99,15 +123,10 @@ def look_alike_pairs(docs: DataFrame, salts: int = 16) -> DataFrame:
     return pairs.where(differ & (F.col("doc_id_a") < F.col("doc_id_b"))).select("doc_id_a", "doc_id_b").distinct()
 
 
-def _print128(column: str, name: str) -> list:
-    return [F.xxhash64(column).alias(f"{name}1"), F.xxhash64(F.lit(7), F.col(column), F.lit(name)).alias(f"{name}2")]
-
-
 def form_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, changed): the smallest doc_id with the same form, and whether the text differs from its form.
 
     One row per document. Class ids are a partial aggregate over fingerprints, joined back with salts."""
-    formed = one_form(docs.where(F.col("text").isNotNull()), "doc_id", "text")
-    rows = formed.select("doc_id", *_print128("form", "f"), (F.col("text") != F.col("form")).alias("changed"))
+    rows = cut_lineage(fingerprints(docs).select("doc_id", "f1", "f2", "changed"))
     classes = rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id"))
     return salted_join(rows, classes, ["f1", "f2"], F.col("doc_id")).select("doc_id", "class_id", "changed")
