@@ -122,7 +122,7 @@ def test_repeated_lines(spark):
                 lines[site, form].add(p)
                 numbered.append((p, n, site, form))
     expected = {(p, n) for p, n, s, f in numbered if len(lines[s, f]) >= 4 and 5 * len(lines[s, f]) >= len(pages[s])}
-    df = spark.createDataFrame(rows, "page_id bigint, url string, content string").withColumn("site", F.lit("clash")).withColumn("lines", F.lit(0))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, content string").withColumn("site", F.lit("clash")).withColumn("forms", F.lit(0))
     assert {tuple(x) for x in site_lines.repeated_line_numbers(df).collect()} == expected and len(expected) > 50
     clean = {x.page_id: x for x in site_lines.without_repeated_lines(df.where("page_id IS NOT NULL")).collect()}
     for p, _, content in rows:
@@ -138,7 +138,7 @@ def test_containers_at_the_edge_of_density(n):
     (_, packed, sizes) = site_lines.pack((key,), values)
     rows, got = site_lines.unpack(packed)
     assert sizes.tolist() == [n] and got.tolist() == sorted(values.tolist()) and not rows.any()
-    halves = [site_lines._emit(*site_lines.pack((k, k, k, k), v)) for v in (values[:2000], values[1000:]) for k in [np.zeros(len(v), np.int64)]]
+    halves = [site_lines._emit(*site_lines.pack((k, k, k), v)) for v in (values[:2000], values[1000:]) for k in [np.zeros(len(v), np.int64)]]
     united = pa.Table.from_batches(site_lines._unite(iter(halves)))
     assert united.column("n").to_pylist() == [n] and site_lines.unpack(united.column("pages").combine_chunks())[1].tolist() == sorted(values.tolist())
 
@@ -151,10 +151,10 @@ def test_containers_round_trip():
     assert sizes.tolist() == [9000, 5] and [len(x) for x in packed.to_pylist()] == [8192, 10]
     rows, got = site_lines.unpack(packed)
     assert set(zip(rows.tolist(), got.tolist(), strict=True)) == set(zip(key.tolist(), values.tolist(), strict=True))
-    parts = [site_lines._emit([k, k, k, k], p, s) for k, p, s in (([key2[0]] and (np.array([7]), *site_lines.pack((np.zeros(100, np.int64),), v)[1:]) for v in (r.choice(65536, 100, False) for _ in range(200)) for key2 in [np.array([0])]))]
+    parts = [site_lines._emit([k, k, k], p, s) for k, p, s in (([key2[0]] and (np.array([7]), *site_lines.pack((np.zeros(100, np.int64),), v)[1:]) for v in (r.choice(65536, 100, False) for _ in range(200)) for key2 in [np.array([0])]))]
     whole = set()
     for b in parts:
-        whole |= set(site_lines.unpack(b.column(4))[1].tolist())
+        whole |= set(site_lines.unpack(b.column(3))[1].tolist())
     united = pa.Table.from_batches(site_lines._unite(iter(parts)))
     assert united.num_rows == 1 and united.column("n")[0].as_py() == len(whole)
 

@@ -93,6 +93,10 @@ SELECT doc_id, token, tf, df, round(weight, 6) AS weight,
     CASE WHEN k22 > 0 THEN k22 * ln(k22 * n / ((k21 + k22) * (k12 + k22))) ELSE 0 END), 6) AS llr
 FROM cells""",
     "p4_found": f"WITH {_LINES} SELECT page_id, CAST(line_no AS BIGINT) AS line_no FROM found",
+    "p4_clean": f"""WITH {_LINES},
+gone AS (SELECT page_id, list(line_no) AS ns, count(*) AS n FROM found GROUP BY page_id)
+SELECT t.page_id, CASE WHEN g.ns IS NULL THEN content ELSE array_to_string(list_filter(string_split(content, chr(10)), lambda x, i: NOT list_contains(g.ns, i)), chr(10)) END AS content,
+  CAST(coalesce(g.n, 0) AS INT) AS removed FROM text_pages t LEFT JOIN gone g ON g.page_id = t.page_id""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": rf"""WITH {_FORMED},
 items AS (SELECT item_id, {_by_character("text")} AS form FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),

@@ -1,11 +1,11 @@
 """Lines repeated across one site's documents (problem 4).
 
-Line variants (the line as written) are brought to their form and fingerprinted first, which unites them before anything is
-counted. Every form keeps its pages as compressed bitmaps, one container for each 2^16 page ids: sorted 16-bit values while
-sparse, 8 KB of bits when dense. Tasks build containers from their own rows, so a line that stands on
-millions of pages leaves each task as a few bytes per page at most; containers of one line are united after a
-shuffle by (line, container), their exact sizes are summed to one cardinality, and the members of the bitmaps of the lines over
-the threshold are joined to the pages' lines, which are deleted.
+One pass over the pages cuts them into lines and fingerprints each line twice: as it is written (the variant) and in its form. Every
+task stores the pages of each variant of a site as compressed bitmaps, one container for each 2^16 page ids: sorted 16-bit values
+while sparse, 8 KB of bits when dense. So a line that stands on millions of pages leaves a task as a few bytes per page at most.
+After a shuffle by (site, form, container) the variants' bitmaps are united, their exact sizes are summed to one cardinality per
+form, and forms over the threshold are kept. For the deletion the pages (as arrays of fingerprints) meet the kept bitmaps of their
+site and 2^16 block, and a line goes if its form is kept and the page's bit is set in its bitmap.
 
 Defined results: rows without a site (null, empty or unusable url) or with null page id give nothing; null content counts
 as a page of the site without lines; lines without a letter never count; exact duplicate rows count once; rows of one page
@@ -18,10 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.operators.skew import salted_join
+from textmill.session import cut_lineage
 
 DENSE = 4096  # values from which a container is stored as bits; so only those have 8,192 bytes
 
@@ -32,9 +35,12 @@ def site_of(url: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(host, r"\.$", ""), r"^www\.", ""), F.lit(""))
 
 
-def line_form(line: Column) -> Column:
+_NO_LETTERS = regex.compile(r"[^\p{L}]+")
+
+
+def line_form(line: str) -> str:
     """Lower case, every run of characters other than letters as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
+    return _NO_LETTERS.sub(" ", line.lower()).strip()
 
 
 # ---- containers, in whole batches -----------------------------------------------------------------------------------
@@ -94,25 +100,31 @@ def unpack(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(values)
 
 
-CONTAINERS = "site bigint, l1 bigint, l2 bigint, high bigint, pages binary, n bigint"
+CONTAINERS = "site bigint, form bigint, high bigint, pages binary, n bigint"
 
 
 def _emit(keys: list[np.ndarray], packed: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*map(pa.array, keys), packed, pa.array(sizes.astype(np.int64))], ["site", "l1", "l2", "high", "pages", "n"])
+    return pa.RecordBatch.from_arrays([*map(pa.array, keys), packed, pa.array(sizes.astype(np.int64))], ["site", "form", "high", "pages", "n"])
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(site, l1, l2, page_id) rows to containers; united within about a million rows of a task."""
+    """Pages with their lines' fingerprints to the variants' containers; gathered within about a million lines of a task."""
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
 
     def flush() -> pa.RecordBatch:
-        site, l1, l2, page = (np.concatenate(c) for c in zip(*held, strict=True))
-        return _emit(*pack((site, l1, l2, page >> 16), page & 0xFFFF))
+        site, form, variant, page = (np.concatenate(c) for c in zip(*held, strict=True))
+        (site, form, _, high), packed, sizes = pack((site, form, variant, page >> 16), page & 0xFFFF)
+        return _emit([site, form, high], packed, sizes)
 
     for b in batches:
-        held.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
-        count += b.num_rows
+        forms, variants = b.column(2), b.column(3)
+        lengths = np.diff(forms.offsets.to_numpy())
+        flat = forms.flatten()
+        known = flat.is_valid().to_numpy(zero_copy_only=False)
+        page, site = (np.repeat(b.column(i).to_numpy(), lengths)[known] for i in (0, 1))
+        held.append((site, flat.drop_null().to_numpy(), variants.flatten().to_numpy(zero_copy_only=False)[known], page))
+        count += len(page)
         if count >= 1_000_000:
             yield flush()
             held, count = [], 0
@@ -126,7 +138,7 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         t = pa.Table.from_batches([b])
         t = t if rest is None else pa.concat_tables([rest, t])
-        keys = [t.column(i).to_numpy() for i in range(4)]
+        keys = [t.column(i).to_numpy() for i in range(3)]
         starts = _boundaries(*keys)
         cut = int(starts[-1]) if len(starts) else 0
         if cut:
@@ -140,57 +152,87 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _united(t: pa.Table) -> pa.RecordBatch:
     rows, values = unpack(t.column("pages").combine_chunks())
-    keys = tuple(t.column(i).to_numpy()[rows] for i in range(4))
+    keys = tuple(t.column(i).to_numpy()[rows] for i in range(3))
     return _emit(*pack(keys, values))
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pages of containers, as (page_id, l1, l2) rows."""
-    for b in batches:
-        for s in range(0, b.num_rows, 256):
-            part = b.slice(s, 256)
-            rows, values = unpack(part.column(3))
-            l1, l2, high = (part.column(i).to_numpy(zero_copy_only=False)[rows] for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array((high << 16) | values), pa.array(l1), pa.array(l2)], ["page_id", "l1", "l2"])
-
-
 # ---- the operator ---------------------------------------------------------------------------------------------------
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, site, lines): per row the fingerprints of its lines in order, null for lines without a letter.
+def _print_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, tuple[int | None, int]] = {}  # emptied when full, which costs time only
+    prints = xxhash.xxh3_64_intdigest
 
-    The site enters the fingerprints, so lines of different sites never meet."""
-    site = site_of(F.col("url"))
-    rows = pages.where(F.col("page_id").isNotNull()).select("page_id", F.xxhash64(site).alias("site"), site.alias("_s"), F.split("content", "\n").alias("_c")).where(F.col("_s").isNotNull())
-
-    def fingerprint(line: Column) -> Column:
+    def of(line: str) -> tuple[int | None, int]:
         form = line_form(line)
-        return F.when(form != "", F.struct(F.xxhash64("site", form).alias("l1"), F.xxhash64(form, "site", F.lit(3)).alias("l2")))
+        got = (prints(form.encode()) - (1 << 63) if form else None, prints(line.encode()) - (1 << 63))
+        if len(line) <= 400:
+            if len(known) >= 200_000:
+                known.clear()
+            known[line] = got
+        return got
+
+    for b in batches:
+        forms, variants = [], []
+        for content in b.column(2).to_pylist():
+            both = [known.get(x) or of(x) for x in content.split("\n")] if content is not None else []
+            forms.append([f for f, _ in both])
+            variants.append([v for _, v in both])
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(forms, kind), pa.array(variants, kind)], ["page_id", "site", "forms", "variants"])
 
-    return rows.select("page_id", "site", F.transform("_c", fingerprint).alias("lines"))
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """(page_id, site, forms, variants): per row with a site the fingerprints of its lines in order; forms are null for lines
+    without a letter. Fingerprints have 64 bits and are compared within a site (of which the fingerprint has 64 bits more)."""
+    site = site_of(F.col("url"))
+    rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("bigint").alias("page_id"), site.alias("_s"), "content").where(F.col("_s").isNotNull())
+    return rows.select("page_id", F.xxhash64("_s").alias("site"), "content").mapInArrow(_print_lines, "page_id bigint, site bigint, forms array<bigint>, variants array<bigint>")
 
 
 def repeated_lines(lines: DataFrame, min_pages: int = 4, share_num: int = 1, share_den: int = 5) -> DataFrame:
-    """(page_id, l1, l2): the pages of every line that stands on at least ``min_pages`` distinct pages of its site and on at
-    least share_num/share_den of the site's distinct pages. ``lines`` as of ``page_lines``."""
-    each = lines.select("page_id", "site", F.explode(F.array_distinct("lines")).alias("l")).where(F.col("l").isNotNull()).select("site", "l.l1", "l.l2", "page_id")
-    built = each.mapInArrow(_build, CONTAINERS)
-    keys = ["site", "l1", "l2", "high"]
-    united = built.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_unite, CONTAINERS)
-    sizes = united.groupBy("site", "l1", "l2").agg(F.sum("n").alias("pages_with")).where(F.col("pages_with") >= min_pages)
+    """(site, form, high, pages): the bitmaps of every form that stands on at least ``min_pages`` distinct pages of its site and on
+    at least share_num/share_den of the site's distinct pages. ``lines`` as of ``page_lines``."""
+    keys = ["site", "form", "high"]
+    united = lines.mapInArrow(_build, CONTAINERS).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_unite, CONTAINERS)
+    sizes = united.groupBy("site", "form").agg(F.sum("n").alias("pages_with")).where(F.col("pages_with") >= min_pages)
     sites = lines.select("site", "page_id").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("site_pages"))
-    chosen = salted_join(sizes, sites, ["site"], F.col("l1")).where(F.col("pages_with") * share_den >= F.col("site_pages") * share_num).select("l1", "l2")
+    chosen = salted_join(sizes, sites, ["site"], F.col("form")).where(F.col("pages_with") * share_den >= F.col("site_pages") * share_num).select("site", "form")
     # of a line, as many containers as page ids span: spread by container, so that no line is one task's
-    return salted_join(united.select("l1", "l2", "high", "pages"), chosen, ["l1", "l2"], F.col("high")).select("l1", "l2", "high", "pages").mapInArrow(_members, "page_id bigint, l1 bigint, l2 bigint")
+    return salted_join(united.select("site", "form", "high", "pages"), chosen, ["site", "form"], F.col("high")).select("site", "form", "high", "pages")
+
+
+def _looked_up(lines: pa.Table, kept: pa.Table) -> pa.Table:
+    """The (page_id, line_no) of the lines of one site and block of pages that are set in a kept bitmap."""
+    forms = lines.column("forms").combine_chunks()
+    flat, lengths = forms.flatten(), np.diff(forms.offsets.to_numpy())
+    prints = flat.fill_null(0).to_numpy()
+    page = np.repeat(lines.column("page_id").to_numpy(), lengths)
+    number = np.arange(len(prints)) - np.repeat(forms.offsets.to_numpy()[:-1] - forms.offsets[0].as_py(), lengths) + 1
+    hit = np.isin(prints, kept.column("form").to_numpy()) & flat.is_valid().to_numpy(zero_copy_only=False)
+    prints, page, number = prints[hit], page[hit], number[hit]
+    order = np.argsort(prints, kind="stable")
+    prints, page, number = prints[order], page[order], number[order]
+    gone = np.zeros(len(prints), bool)
+    for form, bitmap in zip(kept.column("form").to_numpy().tolist(), kept.column("pages"), strict=True):
+        a, b = np.searchsorted(prints, form), np.searchsorted(prints, form, "right")
+        if a < b:
+            bits = np.zeros(65536, bool)
+            bits[unpack(pa.array([bitmap.as_py()], pa.binary()))[1]] = True
+            gone[a:b] = bits[page[a:b] & 0xFFFF]
+    return pa.table({"page_id": pa.array(page[gone]), "line_no": pa.array(number[gone].astype(np.int64))})
 
 
 def repeated_line_numbers(pages: DataFrame, **thresholds: int) -> DataFrame:
-    """(page_id, line_no): the lines of each page that ``repeated_lines`` finds."""
-    lines = page_lines(pages)
-    found = repeated_lines(lines, **thresholds)
-    numbered = lines.select("page_id", F.posexplode("lines").alias("i", "l")).where(F.col("l").isNotNull()).select("page_id", (F.col("i") + 1).cast("bigint").alias("line_no"), "l.l1", "l.l2")
-    return numbered.join(found, ["page_id", "l1", "l2"]).select("page_id", "line_no").distinct()
+    """(page_id, line_no): the lines of each page that ``repeated_lines`` finds, by a lookup in their bitmaps.
+
+    The fingerprints are made once and kept in the checkpoint folder. A group of the lookup is a site's pages of one block of 2^16
+    page ids with the kept bitmaps of that block, so a large site is as many groups as blocks."""
+    lines = cut_lineage(page_lines(pages))
+    kept = repeated_lines(lines, **thresholds)
+    blocks = lines.where(F.size("forms") > 0).select("site", F.shiftright("page_id", 16).alias("high"), "page_id", "forms")
+    looked = blocks.groupBy("site", "high").cogroup(kept.groupBy("site", "high")).applyInArrow(_looked_up, "page_id bigint, line_no bigint")
+    return looked.distinct()
 
 
 def without_repeated_lines(pages: DataFrame, **thresholds: int) -> DataFrame:
