@@ -16,6 +16,7 @@ from textmill.operators import search as se
 from textmill.operators import simhash as sh
 from textmill.operators import words as wo
 from textmill.plans.engine import NO_SUMMARY, Engine
+from textmill.sources import index_store as store
 from textmill.sources.index_store import IndexOptions, size_kb
 from textmill.sources.json_pages import bad_files, catalogue, first_urls, read_pages
 
@@ -226,7 +227,7 @@ def test_words(spark):
     lemmas = {r.token: r.lemma for r in wo.lemma_map(vocabulary).collect()}
     assert lemmas == {"dog": "dog", "dogs": "dog", "glass": "glass", "bus": "bus", "ponies": "pony", "pony": "pony", "leaf": "leaf", "leaves": "leaf", "men": "man", "man": "man", "has": "has"}
     dfs = spark.createDataFrame([("query", 5), ("quest", 9), ("index", 1)], "token string, df bigint")
-    assert {r.word: r.corrected for r in wo.corrected(["qury", "indx", "zzzzzzz"], dfs).collect()} == {"qury": "query", "indx": "index"}
+    assert {r.word: r.corrected for r in wo.corrected(spark.createDataFrame([("qury",), ("indx",), ("zzzzzzz",)], "word string"), dfs).collect()} == {"qury": "query", "indx": "index"}
 
 
 def test_json_pages(spark, tmp_path):
@@ -273,3 +274,96 @@ def test_streaming_ingest(spark, tmp_path):
     pages.write.parquet(str(tmp_path / "in"))
     ingest(without_copies(page_stream(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("token").count().count() == 2
+
+
+def test_catalogue_keeps_every_large_page(spark):
+    pages = spark.range(20_000).select(F.concat(F.lit("p/"), F.sha2(F.col("id").cast("string"), 256)).alias("path"), F.repeat(F.lit("x"), 39_000).alias("content"), F.lit(1).alias("_n")).repartition(16)
+    rows = catalogue(pages).select("doc_id", "path", F.length("content").alias("n")).collect()
+    assert [r.path for r in sorted(rows, key=lambda r: r.doc_id)] == sorted(r.path for r in rows)
+    assert sorted(r.doc_id for r in rows) == list(range(1, 20_001)) and {r.n for r in rows} == {39_000}
+    assert catalogue(pages.limit(0)).count() == 0
+    twice = spark.createDataFrame([("b", "1"), ("a", "2"), ("b", "3"), (None, "4")], "path string, content string")
+    assert sorted((r.doc_id, r.content) for r in catalogue(twice).collect()) == [(1, "2"), (2, "1"), (2, "3")]
+
+
+def test_a_new_build_leaves_what_is_read_alone(spark, tmp_path):
+    path = str(tmp_path / "i")
+    old = Engine.build(spark, spark.createDataFrame(PAGES[:2], SCHEMA), path)
+    new = old.extended(spark.createDataFrame(PAGES[2:], SCHEMA), path)  # onto its own path
+    assert (old.page_count, new.page_count) == (2, 4) and old.postings.count() < new.postings.count()
+    assert len(store.builds(spark, path)) == 2 and Engine(spark, path).page_count == 4
+    (tmp_path / "i/build-99999999999999999999-x/postings").mkdir(parents=True)  # one that never ended
+    assert Engine(spark, path).page_count == 4
+    store.prune(spark, path)
+    assert len(store.builds(spark, path)) == 1 and Engine(spark, path).lookup("data").count() == 3
+    assert Engine.build(spark, spark.createDataFrame(PAGES[:1], SCHEMA), path, load_existing=True).page_count == 4
+    assert Engine.build(spark, spark.createDataFrame(PAGES[:1], SCHEMA), str(tmp_path / "none"), load_existing=True).page_count == 1
+    with pytest.raises(FileNotFoundError):
+        Engine(spark, str(tmp_path / "nowhere"))
+
+
+def test_index_without_files(spark, tmp_path, engine):
+    e = Engine.build(spark, spark.createDataFrame(PAGES, SCHEMA), str(tmp_path / "i"), persist=False)
+    assert not (tmp_path / "i").exists() and ranking(e.search("data")) == ranking(engine.search("data"))
+    assert e.extended(spark.createDataFrame([(5, "a/5", "u", "data")], SCHEMA), None).page_count == 5
+    e.drop()
+
+
+def test_search_with_spelling_and_paths(engine, spark):
+    got = engine.search("sparkk enginne", spellcheck=True).collect()
+    assert [(r.doc_id, r.url, r.path) for r in got] == [(1, "http://x/1", "a/1")]
+    assert engine.search("sparkk enginne").count() == 0
+    assert engine.search("spark zzzzzzzz", spellcheck=True).count() == 2  # strange and unknown: left out
+    assert engine.search("spark unfindable", spellcheck=True).count() == 0  # unknown and no candidate: kept
+
+
+def test_lemmas_of_a_lexicon(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "p", "u1", "<p>dogs run"), (2, "q", "u2", "<p>cats run, a cat")], SCHEMA)
+    lexicon = spark.createDataFrame([("dog",)], "token string")
+    e = Engine.build(spark, pages, str(tmp_path / "l"), IndexOptions(lemmatize=True), lexicon=lexicon)
+    assert {r.token for r in e.tokens().collect()} == {"dog", "run", "cats", "a", "cat"}
+
+
+def test_statistics_of_stored_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"p{i}", f"u{i}", f"t{i:03} shared") for i in range(200)], SCHEMA)
+    e = Engine.build(spark, docs, str(tmp_path / "s"), IndexOptions(target_rows=30, plain_text=True))
+    files = e.partition_statistics().orderBy("partition").collect()
+    assert len(files) > 4 and sum(f.postings for f in files) == 400 and [f.partition for f in files] == list(range(1, len(files) + 1))
+    assert all(a.last_token <= b.first_token for a, b in zip(files, files[1:])) and files[0].first_token == "shared"
+
+
+def test_spelling_against_all_pairs(spark):
+    r = random.Random(4)
+    words = {"".join(r.choice("abc") for _ in range(r.randint(1, 7))) for _ in range(150)}
+    asked = list(words)[:40] + ["", "zz", "é"]
+    dfs = spark.createDataFrame([(w, len(w)) for w in words], "token string, df bigint")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    expected = {(a, b, edits(a, b)) for a in asked if a for b in words if edits(a, b) <= 2}
+    got = wo.spelling_candidates(spark.createDataFrame([(w,) for w in asked] + [(None,)], "word string"), dfs).collect()
+    assert {(g.word, g.candidate, g.distance) for g in got} == expected and len(got) == len(expected)
+
+
+def test_search_with_more_terms_than_a_filter_takes(spark, engine, monkeypatch):
+    queries = spark.createDataFrame([(0, "spark engine"), (1, "data fast"), (2, "none")], "query_id int, text string")
+    few = sorted(map(str, engine.search(queries).collect()))
+    monkeypatch.setattr(se, "FEW_TERMS", 1)
+    assert sorted(map(str, engine.search(queries).collect())) == few and len(few) == 2
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace as N
+
+    from textmill.session import ensure_checkpoint_dir
+
+    none = N(isDefined=lambda: False)
+    session = N(sparkContext=N(_jsc=N(sc=lambda: N(getCheckpointDir=lambda: none)), master="spark://host:7077", getConf=lambda: N(get=lambda *_: None)))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(session)

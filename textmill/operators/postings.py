@@ -6,7 +6,7 @@ list is ever one task's. Nested entries are a view for small results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.html import with_text_nodes
@@ -55,8 +55,11 @@ def with_idf(dfs: DataFrame, n_docs: int) -> DataFrame:
     return dfs.withColumn("idf", idf(F.lit(n_docs), F.col("df")))
 
 
-def nested_entries(postings: DataFrame) -> DataFrame:
-    """(token, df, postings): lists of (doc_id, frequency) in the order of documents."""
+def nested_entries(postings: DataFrame, most: int | None = None) -> DataFrame:
+    """(token, df, postings): lists of (doc_id, frequency) in the order of documents; of all tokens, or of the ``most`` tokens of greatest
+    df (ties by token), which are chosen before a list is built."""
+    if most is not None:
+        postings = postings.join(F.broadcast(document_frequencies(postings).orderBy(F.col("df").desc(), "token").limit(most).select("token")), "token", "left_semi")
     lists = postings.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.col("tf").alias("frequency")))).alias("postings"))
     return lists.select("token", F.size("postings").cast("bigint").alias("df"), "postings")
 
@@ -85,5 +88,6 @@ def statistics(docs: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def partition_statistics(postings: DataFrame) -> DataFrame:
-    """Per partition of a written index: smallest token, postings."""
-    return postings.groupBy(F.spark_partition_id().alias("partition")).agg(F.min("token").alias("first_token"), F.count(F.lit(1)).alias("postings"))
+    """(partition, first_token, last_token, postings) per file of a stored index, numbered from 1 in the order of tokens."""
+    files = postings.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("token").alias("first_token"), F.max("token").alias("last_token"), F.count(F.lit(1)).alias("postings"))
+    return files.select(F.row_number().over(Window.orderBy("first_token", "file")).cast("bigint").alias("partition"), "first_token", "last_token", "postings")

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.functions.text import TAG_WEIGHTS, TAGS, idf, raw_terms, terms, tokens
+from textmill.functions.text import TAG_WEIGHTS, TAGS, idf, is_strange, raw_terms, terms, tokens
 from textmill.operators.skew import salted_join
+from textmill.operators.words import corrected
+from textmill.session import cut_lineage
 
 DEPTH, PAGE_SIZE = 50, 5
 
@@ -31,13 +33,40 @@ def tag_weighted(n_docs: Column) -> Column:
     return idf(n_docs, F.col("df")) * total
 
 
+FEW_TERMS = 1000  # distinct query terms up to which they are a filter of the scan
+
+
+def of_terms(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """The postings of the tokens in ``asked`` (token). Up to ``FEW_TERMS`` tokens are a filter that reaches the scan; more are a semi-join
+    (broadcast only if Spark finds them small enough). The result is the same."""
+    tokens_ = asked.select("token").distinct()
+    few = [r.token for r in tokens_.limit(FEW_TERMS + 1).collect()]
+    if len(few) > FEW_TERMS:
+        return postings.join(tokens_, "token", "left_semi")
+    return postings.where(F.col("token").isin(*few)) if few else postings.limit(0)
+
+
+def respelled(queries: DataFrame, dfs: DataFrame) -> DataFrame:
+    """(query_id, text): the queries' distinct terms with every unknown one corrected from the vocabulary. An unknown term of a strange
+    pattern is left out; one without a candidate stays, and finds nothing."""
+    rows = query_terms(queries).select("query_id", "token")
+    asked = rows.select("token").distinct()
+    unknown = asked.join(dfs, "token", "left_anti").where(~is_strange(F.col("token")))
+    fixed = corrected(unknown.select(F.col("token").alias("word")), dfs).withColumnRenamed("word", "token")
+    state = asked.join(dfs.select("token", F.lit(True).alias("known")), "token", "left").join(fixed, "token", "left")
+    kept = F.when(F.col("known"), F.col("token")).when(F.col("corrected").isNotNull(), F.col("corrected")).when(~is_strange(F.col("token")), F.col("token"))
+    terms_ = rows.join(state.select("token", kept.alias("kept")), "token").where(F.col("kept").isNotNull())
+    return cut_lineage(terms_.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("kept")), " ").alias("text")))
+
+
 def matches(queries: DataFrame, postings: DataFrame, dfs: DataFrame, n_docs: Column, mode: str = "tokens") -> DataFrame:
     """(query_id, doc_id, tfidf): documents that have every term of a query. Queries without terms match nothing.
 
     Only documents with a query's rarest term can match, so those are its candidates, and the other terms are looked up for
     the candidates alone, by (doc_id, token), a key that no frequent token makes hot. A query with an unknown term is dropped
     at once."""
-    known = query_terms(queries, mode).join(dfs, "token")
+    asked = query_terms(queries, mode)
+    postings, known = of_terms(postings, asked), asked.join(dfs, "token")
     whole = known.groupBy("query_id", "n_terms").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("df", "token"))["token"].alias("token")).where(F.col("known") == F.col("n_terms"))
     candidates = salted_join(postings.select("doc_id", "token"), whole.select("query_id", "token"), ["token"], F.col("doc_id"), 8).select("query_id", "doc_id")
     wanted = salted_join(candidates, known, ["query_id"], F.col("doc_id"), 8)
@@ -78,5 +107,5 @@ def counts(found: DataFrame, depth: int = DEPTH, size: int = PAGE_SIZE) -> DataF
 
 
 def with_urls(ranked: DataFrame, urls: DataFrame) -> DataFrame:
-    """Results with the url of their page; pages without an own url are left out. ``urls``: (url, doc_id), first page wins."""
+    """Results with the url (and path) of their page; pages without an own url are left out. ``urls``: (url, doc_id, path), first page wins."""
     return ranked.join(urls, "doc_id")

@@ -6,7 +6,7 @@ Three devices, used by every operator whose key may be hot:
   data, so the result has a proven bound and may be broadcast.
 * ``salted_join`` joins a large side to a compact one with the hot keys spread over a fixed number of salts.
 * ``join_split`` joins rows to per-key states: the heavy keys by broadcast (bounded as above), the others by shuffle.
-* ``eager_join_aggregate`` replaces aggregate-over-join by join-over-aggregates.
+* ``eager_join_states`` and ``eager_join_aggregate`` replace aggregate-over-join by join-over-aggregates.
 """
 
 from __future__ import annotations
@@ -45,18 +45,25 @@ def join_split(rows: DataFrame, states: DataFrame, key: str, weight: str, share_
     return hot.unionByName(cold)
 
 
+def eager_join_states(left: DataFrame, right: DataFrame, key: str, left_sums: list[str] = (), right_sums: list[str] = (), how: str = "inner") -> DataFrame:
+    """The compact states of a join's inputs, joined: key, left_rows, right_rows, and l_<c> and r_<c> for the sums of either side.
+
+    Both inputs are first reduced to one state per key (row count and sums, combined map-side, so a hot key costs one partial row per
+    task); only the states are joined. Null keys never join; a null value counts as 0 in its sum; with ``how="left"`` a key without
+    rows on the right has 0 there."""
+    a = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("left_rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"l_{c}") for c in left_sums])
+    b = right.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("right_rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"r_{c}") for c in right_sums])
+    joined = a.join(b, key, how)
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in b.columns if c != key})
+
+
 def eager_join_aggregate(left: DataFrame, right: DataFrame, key: str, left_sums: list[str], right_sums: list[str]) -> DataFrame:
-    """Aggregates of the inner join of two inputs per key, without building the join.
-
-    Both inputs are first reduced to one state per key (row count and sums, combined map-side, so a hot key costs one
-    partial row per task); the compact states are joined; then counts multiply and a sum of one side is scaled by the count
-    of the other. Result: key, join_rows, and sum_<c> for each column of left_sums and right_sums. Null keys never join; a
-    null value counts as 0 in its sum."""
-    a = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_nl"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_l_{c}") for c in left_sums])
-    b = right.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_nr"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_r_{c}") for c in right_sums])
-    return a.join(b, key).select(
+    """Aggregates of the inner join of two inputs per key, without building the join: from the joined states, counts multiply and a sum
+    of one side is scaled by the count of the other. Result: key, join_rows, and sum_<c> for each column of left_sums and
+    right_sums."""
+    return eager_join_states(left, right, key, left_sums, right_sums).select(
         key,
-        (F.col("_nl") * F.col("_nr")).alias("join_rows"),
-        *[(F.col(f"_l_{c}") * F.col("_nr")).alias(f"sum_{c}") for c in left_sums],
-        *[(F.col(f"_r_{c}") * F.col("_nl")).alias(f"sum_{c}") for c in right_sums],
+        (F.col("left_rows") * F.col("right_rows")).alias("join_rows"),
+        *[(F.col(f"l_{c}") * F.col("right_rows")).alias(f"sum_{c}") for c in left_sums],
+        *[(F.col(f"r_{c}") * F.col("left_rows")).alias(f"sum_{c}") for c in right_sums],
     )

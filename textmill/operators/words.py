@@ -30,16 +30,38 @@ def lemmatized(frequencies: DataFrame, lemmas: DataFrame) -> DataFrame:
     return frequencies.join(lemmas, "token").groupBy("doc_id", F.col("lemma").alias("token")).agg(F.sum("n").alias("n"))
 
 
-def spelling_candidates(words: list[str], dfs: DataFrame, distance: int = 2) -> DataFrame:
-    """(word, candidate, distance, df): vocabulary within an edit distance of the stated words, which are scanned for in one
-    pass over the vocabulary with a bounded-distance test; nothing is joined."""
-    asked = F.explode(F.array(*map(F.lit, words)))
-    rows = dfs.select(F.col("token").alias("candidate"), "df", asked.alias("word")).where(F.abs(F.length("word") - F.length("candidate")) <= distance)
-    near = rows.withColumn("distance", F.levenshtein("word", "candidate", distance).cast("bigint")).where(F.col("distance") >= 0)
+def _parts(length: Column) -> list[tuple[Column, Column]]:
+    """(start, length) of the three parts of a word; words of one or two letters have empty ones."""
+    n = F.floor(length / 3).cast("int")
+    return [(F.lit(1), n), (n + 1, n), (2 * n + 1, length - 2 * n)]
+
+
+def spelling_candidates(words: DataFrame, dfs: DataFrame) -> DataFrame:
+    """(word, candidate, distance, df): for each of ``words`` (word) the vocabulary within two edits.
+
+    Two edits leave one of three parts of a candidate as it is, moved by two places at most. So every candidate has three keys (its
+    length, the part's number, the part) and a word has those keys for which it could be a match: an equi-join, of which the
+    words' side is small; what meets is tested. Candidates of one or two letters, of which an alphabet has few, have one key a length."""
+    vocabulary = dfs.select(F.col("token").alias("candidate"), "df", F.length("token").alias("n"))
+    part = [F.struct("n", F.lit(i).alias("i"), F.substring("candidate", a, b).alias("s")) for i, (a, b) in enumerate(_parts(F.col("n")))]
+    short = F.array(F.struct("n", F.lit(0).alias("i"), F.lit("").alias("s")))
+    keyed = vocabulary.select("candidate", "df", F.explode(F.when(F.col("n") < 3, short).otherwise(F.array(*part))).alias("key"))
+    size = F.length("word")
+    asked = words.select("word").where(F.col("word") != "").distinct().select("word", F.explode(F.sequence(F.greatest(size - 2, F.lit(1)), size + 2)).alias("n"))
+    tried = []
+    for i, (a, b) in enumerate(_parts(F.col("n"))):
+        for move in range(-2, 3):
+            at = a + move
+            fits = (F.col("n") >= 3) & (at >= 1) & (at + b - 1 <= F.length("word"))
+            tried.append(F.when(fits, F.struct("n", F.lit(i).alias("i"), F.substring("word", at, b).alias("s"))))
+    tried.append(F.when(F.col("n") < 3, F.struct("n", F.lit(0).alias("i"), F.lit("").alias("s"))))
+    keys = asked.select("word", F.explode(F.array_distinct(F.filter(F.array(*tried), lambda k: k.isNotNull()))).alias("key"))
+    met = keys.join(keyed, "key").select("word", "candidate", "df").distinct()
+    near = met.withColumn("distance", F.levenshtein("word", "candidate", 2).cast("bigint")).where(F.col("distance") >= 0)
     return near.select("word", "candidate", "distance", "df")
 
 
-def corrected(words: list[str], dfs: DataFrame) -> DataFrame:
+def corrected(words: DataFrame, dfs: DataFrame) -> DataFrame:
     """(word, corrected): the word itself if known, else the nearest candidate, then the most frequent, then the first;
     a word without a candidate isn't in the result."""
     order = F.struct("distance", -F.col("df"), "candidate")

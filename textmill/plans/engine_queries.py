@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from textmill.functions.text import STRANGE, TAG_WEIGHTS, TAGS, is_strange, tokens
@@ -9,12 +11,16 @@ from textmill.operators import postings as po
 from textmill.operators import search as se
 from textmill.operators import simhash as sh
 from textmill.operators import words as wo
-from textmill.sources.json_pages import first_urls
+from textmill.plans.engine import Engine
+from textmill.session import ensure_checkpoint_dir
+from textmill.sources.index_store import IndexOptions
+from textmill.sources.json_pages import catalogue, first_urls
 from textmill.sources.tables import table
 
 QUERY = "the index of the query"
 INDEX_QUERIES = ("page course", "query index", "the debugger", "token page the")
 LOOKUP = ("index", "query", "missingtoken")
+MISSPELT_QUERY = "the indexx of the qeury aaaa"
 MISSPELT = ("debuger", "indexx", "qeury", "semafore", "tokn")
 
 
@@ -71,13 +77,51 @@ def doc_freq_idf(spark, d):
 
 
 def nested_topterms(spark, d):
-    return po.nested_entries(_plain(spark, d)).orderBy(F.col("df").desc(), "token").limit(20).select(
+    return po.nested_entries(_plain(spark, d), 20).select(
         "token", "df", F.col("postings")[0]["doc_id"].alias("first_doc"), F.aggregate("postings", F.lit(0).cast("bigint"), lambda a, p: a + p["frequency"]).alias("total"))
 
 
 def weighted_urls(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "url").unionByName(table(spark, d, "text_pages").select("page_id", "url")).withColumnRenamed("page_id", "doc_id")
-    return _rounded(se.with_urls(_weighted(spark, d), first_urls(pages)), "tfidf")
+    pages = table(spark, d, "pages").select("page_id", "url", "path").unionByName(table(spark, d, "text_pages").select("page_id", "url", "path")).withColumnRenamed("page_id", "doc_id")
+    return _rounded(se.with_urls(_weighted(spark, d), first_urls(pages, "doc_id", "path")), "tfidf")
+
+
+def _asked(spark, words=MISSPELT):
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("word"))
+
+
+def spell_search(spark, d):
+    postings = _plain(spark, d)
+    queries = se.respelled(_one(spark, MISSPELT_QUERY), po.document_frequencies(postings))
+    return _rounded(se.top(_found(spark, d, queries)), "tfidf")
+
+
+def page_catalogue(spark, d):
+    return catalogue(table(spark, d, "pages").select("path", "page_id").distinct()).select("doc_id", "page_id", "path")
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark, d) -> Engine:
+    """The index of the documents' texts, built once per session in the checkpoint folder and opened from its files."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+        pages = table(spark, d, "documents").select("doc_id", F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), "url", F.col("text").alias("content"))
+        Engine.build(spark, pages, path, IndexOptions(name="documents", plain_text=True))
+        _STORED[key] = path
+    return Engine(spark, _STORED[key])
+
+
+def stored_statistics(spark, d):
+    engine = stored(spark, d)
+    files = engine.partition_statistics().agg(F.min("first_token").alias("first_token"), F.max("last_token").alias("last_token"), F.sum("postings").alias("in_files"))
+    return engine.statistics().crossJoin(files)
+
+
+def _batch(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _hashes(spark, d):
@@ -116,8 +160,15 @@ QUERIES = {
     "weighted_search_urls": weighted_urls,
     "lemma_map": lambda spark, d: wo.lemma_map(_plain(spark, d).select("token").distinct()),
     "lemma_counts": lemma_counts,
-    "spell_candidates": lambda spark, d: wo.spelling_candidates(list(MISSPELT), po.document_frequencies(_plain(spark, d))),
-    "spell_corrected": lambda spark, d: wo.corrected(list(MISSPELT), po.document_frequencies(_plain(spark, d))),
+    "spell_candidates": lambda spark, d: wo.spelling_candidates(_asked(spark), po.document_frequencies(_plain(spark, d))),
+    "spell_corrected": lambda spark, d: wo.corrected(_asked(spark), po.document_frequencies(_plain(spark, d))),
+    "spell_search": spell_search,
+    "page_catalogue": page_catalogue,
+    "stored_lookup": lambda spark, d: stored(spark, d).lookup(*LOOKUP).select("token", "doc_id", "tf"),
+    "stored_statistics": stored_statistics,
+    "stored_search": lambda spark, d: _rounded(stored(spark, d).search(QUERY).withColumn("query_id", F.col("query_id").cast("bigint")), "tfidf", "cosine"),
+    "stored_spell_search": lambda spark, d: _rounded(stored(spark, d).search(MISSPELT_QUERY, spellcheck=True).withColumn("query_id", F.col("query_id").cast("bigint")), "tfidf", "cosine"),
+    "stored_batch_search": lambda spark, d: _rounded(stored(spark, d).search(_batch(spark, d)), "tfidf", "cosine"),
     "json_extract": lambda spark, d: table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")),
 }
 
@@ -128,15 +179,15 @@ _WORDS = f"words AS (SELECT doc_id, unnest({_T.format('text')}) AS token FROM do
 _NORMS = "norms AS (SELECT doc_id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM freq GROUP BY doc_id)"
 
 
-def _search_sql(queries: str) -> str:
-    return f"""{_WORDS}, {_NORMS},
+def _search_sql(queries: str, total: str = "") -> str:
+    return f"""{_WORDS}{total}, {_NORMS},
 queries AS ({queries}),
 qwords AS (SELECT query_id, unnest({_T.format('text')}) AS token FROM queries),
 q AS (SELECT query_id, token, count(*) AS qn FROM qwords GROUP BY ALL),
 need AS (SELECT query_id, count(*) AS n_terms FROM q GROUP BY query_id),
 found AS (
   SELECT q.query_id, f.doc_id, sum(ln(CAST(n_docs AS DOUBLE) / df) * (1 + {TAG_WEIGHTS['other']} * ln(f.n))) AS tfidf
-  FROM q JOIN freq f ON f.token = q.token JOIN dfs ON dfs.token = q.token JOIN need ON need.query_id = q.query_id CROSS JOIN total
+  FROM q JOIN freq f ON f.token = q.token JOIN dfs ON dfs.token = q.token JOIN need ON need.query_id = q.query_id CROSS JOIN {"total_with_text" if total else "total"}
   GROUP BY q.query_id, f.doc_id, n_terms HAVING count(*) = n_terms),
 best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(tfidf, 9) DESC, doc_id) <= {se.DEPTH}),
 cos AS (
@@ -145,6 +196,13 @@ cos AS (
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, round(tfidf, 9) DESC, doc_id) AS rank, doc_id, tfidf, cosine FROM cos)"""
 
 
+_WITH_TEXT = ", total_with_text AS (SELECT count(*) AS n_docs FROM documents WHERE text IS NOT NULL)"
+_RESPELT = f"""SELECT CAST(0 AS BIGINT) AS query_id, string_agg(kept, ' ') AS text FROM (
+  SELECT DISTINCT CASE WHEN EXISTS (SELECT 1 FROM dfs WHERE dfs.token = w) THEN w WHEN {' OR '.join(f"regexp_matches(w, '{p}')" for p in STRANGE)} THEN NULL
+    ELSE coalesce((SELECT arg_min(token, (levenshtein(w, token), -df, token)) FROM dfs WHERE levenshtein(w, token) <= 2), w) END AS kept
+  FROM (SELECT unnest(string_split('{MISSPELT_QUERY}', ' ')) AS w)) WHERE kept IS NOT NULL"""
+_STORED_RANKED = """SELECT query_id, rank, doc_id, round(tfidf, 6) AS tfidf, round(cosine, 6) AS cosine, url, 'documents/' || doc_id AS path
+FROM ranked JOIN (SELECT url, min(doc_id) AS doc_id FROM documents WHERE url <> '' AND text IS NOT NULL GROUP BY url) USING (doc_id)"""
 _ONE = f"SELECT CAST(0 AS BIGINT) AS query_id, '{QUERY}' AS text"
 _RANKED = "SELECT query_id, rank, doc_id, round(tfidf, 6) AS tfidf, round(cosine, 6) AS cosine FROM ranked"
 _TAGS = ", ".join(f"coalesce(tag_frequencies['{t}'], 0) AS f_{t}" for t in TAGS)
@@ -202,10 +260,17 @@ SELECT h.doc_id FROM hashes h LEFT JOIN least_of l ON l.w0 = h.w0 AND l.w1 = h.w
     "index_postings": f"WITH {_LAST} SELECT doc_id, token, {', '.join(f'f_{t}' for t in TAGS)}, {' + '.join(f'f_{t}' for t in TAGS)} AS tf FROM latest",
     "stale_frequencies": "SELECT token, doc_id, run_id, coalesce(frequency, -1) AS frequency, tf FROM (SELECT *, CAST(coalesce(list_sum(map_values(tag_frequencies)), 0) AS BIGINT) AS tf FROM postings) WHERE frequency IS DISTINCT FROM tf",
     "weighted_search": f"WITH {_INDEX_SEARCH} SELECT query_id, doc_id, round(tfidf, 6) AS tfidf FROM best",
-    "weighted_search_urls": f"WITH {_INDEX_SEARCH}, urls AS (SELECT url, min(page_id) AS doc_id FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id, url FROM text_pages) WHERE url <> '' GROUP BY url) SELECT query_id, b.doc_id, round(tfidf, 6) AS tfidf, url FROM best b JOIN urls u ON u.doc_id = b.doc_id",
+    "weighted_search_urls": f"WITH {_INDEX_SEARCH}, urls AS (SELECT url, min(page_id) AS doc_id, arg_min(path, page_id) AS path FROM (SELECT page_id, url, path FROM pages UNION ALL SELECT page_id, url, path FROM text_pages) WHERE url <> '' GROUP BY url) SELECT query_id, b.doc_id, round(tfidf, 6) AS tfidf, url, path FROM best b JOIN urls u ON u.doc_id = b.doc_id",
     "lemma_map": f"WITH {_WORDS}, {_LEMMAS} SELECT token, lemma FROM lemmas",
     "lemma_counts": f"WITH {_WORDS}, {_LEMMAS}, lc AS (SELECT doc_id, lemma AS token, sum(n) AS n FROM freq f JOIN lemmas l ON l.token = f.token GROUP BY doc_id, lemma) SELECT token, count(*) AS df, CAST(sum(n) AS BIGINT) AS total FROM lc GROUP BY token",
     "spell_candidates": f"WITH {_WORDS}, {_NEAR} SELECT * FROM near",
     "spell_corrected": f"WITH {_WORDS}, {_NEAR} SELECT word, arg_min(candidate, (distance, -df, candidate)) AS corrected FROM near GROUP BY word",
+    "spell_search": f"WITH {_search_sql(_RESPELT)} SELECT query_id, doc_id, round(tfidf, 6) AS tfidf FROM best",
+    "page_catalogue": "SELECT dense_rank() OVER (ORDER BY path) AS doc_id, page_id, path FROM (SELECT DISTINCT page_id, path FROM pages WHERE path IS NOT NULL)",
+    "stored_lookup": f"WITH {_WORDS} SELECT token, doc_id, n AS tf FROM freq WHERE token IN {LOOKUP}",
+    "stored_statistics": f"WITH {_WORDS} SELECT (SELECT count(*) FROM dfs) AS n_tokens, (SELECT count(*) FROM freq) AS n_postings, (SELECT count(*) FROM words) AS n_words, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_docs, (SELECT min(token) FROM dfs) AS first_token, (SELECT max(token) FROM dfs) AS last_token, (SELECT count(*) FROM freq) AS in_files",
+    "stored_search": f"WITH {_search_sql(_ONE, _WITH_TEXT)} {_STORED_RANKED}",
+    "stored_spell_search": f"WITH {_search_sql(_RESPELT, _WITH_TEXT)} {_STORED_RANKED}",
+    "stored_batch_search": f"WITH {_search_sql('SELECT item_id AS query_id, text FROM benchmark', _WITH_TEXT)} {_STORED_RANKED}",
     "json_extract": "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events",
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textmill.session import cut_lineage
+
 SCHEMA = "url STRING, content STRING, encoding STRING, _bad STRING"
 
 
@@ -20,20 +22,25 @@ def read_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def catalogue(pages: DataFrame) -> DataFrame:
-    """(doc_id, path, url, ...): pages numbered from 1 in the order of their paths; bad files keep their number.
-
-    The numbers are made in parallel: paths are range-partitioned and sorted, the sizes of the partitions (one row each) are
-    summed up before each partition, and rows are numbered within their partition."""
-    parts = pages.repartitionByRange("path").sortWithinPartitions("path").withColumn("_p", F.spark_partition_id())
+    """(doc_id, path, url, ...): pages with the number (from 1) of their path in the order of paths; bad files keep their number, rows
+    of one path share it, a null path gives no row.
+
+    The numbers are made in parallel: the distinct paths alone are range-partitioned, sorted and written once to the checkpoint
+    folder with their partition, so that every later use sees the same partitions; the sizes of the partitions (one row each) are
+    summed up before each partition, paths are numbered within theirs, and the ids are joined back to the pages by path."""
+    paths = pages.where(F.col("path").isNotNull()).select("path").distinct()
+    parts = cut_lineage(paths.repartitionByRange("path").withColumn("_p", F.spark_partition_id()))
     inside = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("path")))
     sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_p")) - F.col("_size")).select("_p", "_before")
-    return inside.join(F.broadcast(before), "_p").withColumn("doc_id", F.col("_n") + F.col("_before")).drop("_p", "_n", "_before")
+    ids = inside.join(F.broadcast(before), "_p").select("path", (F.col("_n") + F.col("_before")).cast("bigint").alias("doc_id"))
+    return pages.join(ids, "path").select("doc_id", *pages.columns)
 
 
-def first_urls(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(url, key): the first page of every url that isn't empty, by a partial minimum."""
-    return pages.where(F.col("url").isNotNull() & (F.col("url") != "")).groupBy("url").agg(F.min(key).alias(key))
+def first_urls(pages: DataFrame, key: str = "doc_id", *more: str) -> DataFrame:
+    """(url, key, more): the first page of every url that isn't empty, by a partial minimum; of its rows the one with the least ``more``."""
+    least = F.min(F.struct(key, *more))
+    return pages.where(F.col("url").isNotNull() & (F.col("url") != "")).groupBy("url").agg(least.alias("_f")).select("url", *(F.col("_f")[c].alias(c) for c in (key, *more)))
 
 
 def bad_files(pages: DataFrame) -> DataFrame:
