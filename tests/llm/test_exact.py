@@ -227,10 +227,10 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_leaks_in_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 2)
+    assert leaks.block_tables(items, block_chars=200).count() > 1
     text = " ".join(f"v{i}" for i in range(30))
     items = spark.createDataFrame([(i, " ".join(f"v{j}" for j in range(i, i + 12))) for i in range(7)], "item_id bigint, text string")
-    assert leaks.leaked_items(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), items).count() == 7
+    assert leaks.leaked_items(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), items, block_chars=200).count() == 7
 
 
 # ---- problem 10 -------------------------------------------------------------------------------------------------------
