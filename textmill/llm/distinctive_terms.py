@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.operators.skew import join_split
+from textmill.session import cut_lineage
 
 
 def latest_counts(postings: DataFrame) -> DataFrame:
@@ -27,12 +28,13 @@ def latest_counts(postings: DataFrame) -> DataFrame:
 def score_terms(postings: DataFrame, min_df: int = 2) -> DataFrame:
     """(doc_id, token, tf, df, weight, llr) for every token of at least ``min_df`` pages.
 
-    Token states (df, collection count) are pre-aggregated map-side; heavy tokens (a bounded number) are joined by broadcast
-    and the others by shuffle. Page totals come from a window over the page's own rows."""
-    counts = latest_counts(postings)
+    The counts are made once and kept in the checkpoint folder; every later step reads them there. Token states (df, collection count)
+    are pre-aggregated map-side; heavy tokens (a bounded number) are joined by broadcast and the others by shuffle. Page totals come
+    from a window over the page's own rows; who doesn't read the ratio doesn't pay for them."""
+    counts = cut_lineage(latest_counts(postings))
     tokens = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
     n_pages = counts.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    total = tokens.agg(F.sum("ctf").alias("s")).scalar()
+    total = counts.agg(F.sum("tf").alias("s")).scalar()
     page = Window.partitionBy("doc_id")
     rows = join_split(counts, tokens, "token", "df").withColumn("dtf", F.sum("tf").over(page)).where(F.col("df") >= min_df)
     rows = rows.withColumn("weight", F.col("tf") * F.log(n_pages / F.col("df"))).withColumn("_all", total)
@@ -52,21 +54,13 @@ def score_terms(postings: DataFrame, min_df: int = 2) -> DataFrame:
 def dominant_terms(postings: DataFrame, factor: float = 2.0) -> DataFrame:
     """(doc_id, token): the token of greatest weight of a page, if that is at least ``factor`` times the second greatest.
 
-    The weights come from ``weighted_terms``. The rank filter is applied before the shuffle too (at most two rows per page
+    The weights are those of ``score_terms``. The rank filter is applied before the shuffle too (at most two rows per page
     and task move on), so a page with very many tokens isn't gathered in one task."""
     best = Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), F.col("token"))
-    top = weighted_terms(postings).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= 2)
+    top = score_terms(postings).select("doc_id", "token", "weight").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= 2)
     pairs = top.groupBy("doc_id").agg(
         F.max(F.when(F.col("_r") == 1, F.col("token"))).alias("token"),
         F.max(F.when(F.col("_r") == 1, F.col("weight"))).alias("_w1"),
         F.coalesce(F.max(F.when(F.col("_r") == 2, F.col("weight"))), F.lit(0.0)).alias("_w2"),
     )
     return pairs.where((F.col("_w1") > 0) & (F.col("_w1") >= factor * F.col("_w2"))).select("doc_id", "token")
-
-
-def weighted_terms(postings: DataFrame, min_df: int = 2) -> DataFrame:
-    """(doc_id, token, tf, df, weight) without the page totals that only the ratio needs."""
-    counts = latest_counts(postings)
-    tokens = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n_pages = counts.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    return join_split(counts, tokens, "token", "df").where(F.col("df") >= min_df).withColumn("weight", F.col("tf") * F.log(n_pages / F.col("df")))
