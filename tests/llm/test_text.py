@@ -294,6 +294,18 @@ def test_right_text_is_not_garbled():
         assert any(map(r.garbled, er.hard_words(lost))) or "isn" in lost
 
 
+def test_names_with_queries_and_look_alikes_are_not_garbled():
+    r = repairer()
+    for right in ("index.php?id=3", "view.cgi?course=5", "really?yes", "see?it works", "αcell", "s\u0435m\u0430ph\u043er\u0435", "ａｂｃ"):
+        assert not er.judge_text(r, right)[0] and not any(map(r.garbled, er.hard_words(right))), right
+    for bad in ("sp?t genug", "b?squeda", "Gr??e"):
+        assert any(map(r.garbled, er.hard_words(bad))) == (bad != "Gr??e"), bad  # two lost letters side by side aren't judged from ASCII alone
+
+
+def test_symbols_are_bounded():
+    assert len({er.symbol(chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000}) < 10_000 and er.symbol("é") == "é" and er.symbol("質") == er.symbol("賩")
+
+
 def test_garbled_pages(spark):
     rows = [(i, t) for i, t in enumerate(RIGHT * 30)]
     bad = [(1000, RIGHT[1].encode().decode("cp1252")), (1001, "Fa\ufffdade"), (1000, RIGHT[1].encode().decode("cp1252")), (1002, None), (1003, "")]

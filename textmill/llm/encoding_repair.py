@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm.visual_form import LOOK_ALIKES
+
 # Encodings in which text is often written, and encodings in which it is often wrongly read.
 INTENDED = ("utf-8", "cp1252", "cp1251", "koi8_r", "cp1253")
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp437", "cp850", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_15", "cp1254")
@@ -28,6 +30,7 @@ LAYERS = 3  # how often text may have been wrongly decoded
 MIN_DROP = 7.0  # bits by which the cost must fall
 MULTIBYTE = 6.0  # bits in favour of a reading in several bytes a character, which text hardly fits by chance
 
+_PLAIN = str.maketrans({a: b for letters, latin in LOOK_ALIKES.values() for a, b in zip(letters, latin, strict=True)})
 _SPLIT = re.compile(r"[ \t\r\n\f\v<>\"=]+")
 _MARK = "�"
 _LETTER = r"[^\W\d_]"
@@ -35,14 +38,30 @@ _SCRIPTS = (("A", "À", "ʯ"), ("C", "Ѐ", "ԯ"), ("G", "Ͱ", "Ͽ"), ("J", "぀"
 _CONTROL = re.compile(r"[\x00-\x1f\x7f-\x84]")
 # a sign that no orthography puts between letters: C1 controls, boxes, mathematical signs, currency and vulgar signs
 _SIGNS = r"\x80-\x9f¡-¦¨©¬®-´¶¸¹¼-¾×÷ƒˆˇ˘˙˚˛˜˝†‡•…‰‹›⁄€™∂∏∑√∞∩∫≈≠≡≤≥─-▓■⌐⌠⌡∙ⁿ₧"
+_AROUND = re.compile(r"([A-Za-z])\?+(?=([a-z]))")
 _SIGN_IN_WORD = re.compile(rf"{_LETTER}[{_SIGNS}]+{_LETTER}|{_LETTER}[\x80-\x9f]|[\x80-\x9f]{_LETTER}|[Ãâ][{_SIGNS}]|[ГР][{_SIGNS}]")
 _LOST = re.compile(rf"(?:[^\x00-\x7f]\?+|\?+[^\x00-\x7f])(?:{_LETTER}|[^\x00-\x7f])|{_LETTER}\?+{_LETTER}.*[^\x00-\x7f]|{_LETTER}�|�")
-_ASCII_LOST = re.compile(r"[A-Za-z]\?+[a-z]")  # in a word without a slash
+_ASCII_LOST = re.compile(r"[\W_]*[A-Za-z]+(?:\?+[a-z]+)+(?:[-'][A-Za-z]+)*[\W_]*")  # a whole word of letters, not a name with a query
+LIKELY = 16.0  # bits that the two pairs around a lost letter may cost at most
 
 
 def hard_words(text: str) -> list[str]:
-    """The words with a character beyond ASCII, and those in which a question mark stands between letters."""
-    return [w for w in _SPLIT.split(text) if not w.isascii() or "?" in w and "/" not in w and _ASCII_LOST.search(w)]
+    """The words with a character beyond ASCII, and those of ASCII letters between which a question mark stands."""
+    return [w for w in _SPLIT.split(text) if not w.isascii() or "?" in w and _ASCII_LOST.fullmatch(w)]
+
+
+def _alphabets() -> frozenset[str]:
+    """The characters of the code pages beyond ASCII."""
+    found = set()
+    for name in {*INTENDED, *READ_AS} - {"utf-8"}:
+        found |= {c for b in range(128, 256) if (c := bytes([b]).decode(name, "ignore"))}
+    return frozenset(found | {_MARK})
+
+
+def symbol(c: str) -> str:
+    """What a character counts as in the pair model: characters of the code pages and ASCII as themselves, any other by its block of 256 and
+    whether it is a letter. So a model has some thousand symbols at most, whatever the text."""
+    return c if c < "\x80" or c in ALPHABETS else f"{ord(c) >> 8:x}{'L' if c.isalpha() else 'S'}"
 
 
 def read_bytes(text: str, encoding: str) -> bytes | None:
@@ -65,8 +84,11 @@ def read_bytes(text: str, encoding: str) -> bytes | None:
     return bytes(out)
 
 
+ALPHABETS = _alphabets()
+
+
 class Repairer:
-    """Judges words under a pair model. ``pairs`` counts (character, next character), with "" at a word's ends."""
+    """Judges words under a pair model. ``pairs`` counts (symbol, next symbol), with "" at a word's ends."""
 
     def __init__(self, pairs: dict[tuple[str, str], int], cache: int = 300_000) -> None:
         self.pairs = pairs
@@ -74,8 +96,11 @@ class Repairer:
         for (a, _), n in pairs.items():
             self.firsts[a] += n
         size = max(2, len(self.firsts))
-        bits = {(a, b): -math.log2((n + 0.02) / (self.firsts[a] + 0.02 * size)) for (a, b), n in pairs.items()}
-        self.bits = {a + b: x for (a, b), x in bits.items() if b}  # a pair, or a word's first character alone
+        # absolute discounting: a pair seen once says little, as garbled text leaves many of them
+        bits = {(a, b): -math.log2((n - 0.98) / (self.firsts[a] + 0.02 * size)) for (a, b), n in pairs.items()}
+        self.bits = {(a, b): x for (a, b), x in bits.items() if b}
+        self.between: dict[tuple[str, str], bool] = {}
+        self.letters = {a for a in self.firsts if a > "\x7f" and len(a) == 1 and a.isalpha()}
         self.ends = {a: x for (a, b), x in bits.items() if not b}
         self.unseen = {a: -math.log2(0.02 / (n + 0.02 * size)) for a, n in self.firsts.items()}
         self.seen: dict[str, tuple[bool, str]] = {}
@@ -86,12 +111,13 @@ class Repairer:
         bits, before, script = 0.0, "", ""
         get, unseen = self.bits.get, self.unseen
         for c in word:
+            s = c if c < "\x80" or c in ALPHABETS else symbol(c)
             if c > "\x7f" or before > "\x7f" or not before:
-                bits += get(before + c) or unseen.get(before, 20.0)
+                bits += get((before, s)) or unseen.get(before, 20.0)
             now = script_of(c)
             if now and script and now != script and "J" not in (now, script):
                 bits += 12
-            script, before = now, c
+            script, before = now, s
         if before > "\x7f":
             bits += self.ends.get(before) or unseen.get(before, 20.0)
         return bits + 12 * bool(_SIGN_IN_WORD.search(word)) + 40 * word.count(_MARK)
@@ -117,7 +143,7 @@ class Repairer:
     def repaired(self, word: str) -> str:
         """The reading of least cost within ``LAYERS`` layers if it costs enough less, else the word."""
         best, least = word, self.cost(word) - MIN_DROP
-        if least < 1:
+        if least < 1 or disguised(word):
             return word
         layer, followed = [word], {word}
         for _ in range(LAYERS):
@@ -132,12 +158,27 @@ class Repairer:
             followed.update(layer)
         return best
 
+    def likely(self, a: str, b: str) -> bool:
+        """Whether some letter beyond ASCII may well stand between two letters."""
+        got = self.between.get((a, b))
+        if got is None:
+            before = self.unseen.get(a, 20.0)
+            got = self.between[a, b] = any((self.bits.get((a, c)) or before) + self.bits.get((c, b), 99.0) <= LIKELY for c in self.letters)
+        return got
+
+    def lost(self, word: str) -> bool:
+        """Whether a word shows that characters were lost: by its signs, or, where it is ASCII, because question marks stand where the
+        collection has letters beyond ASCII."""
+        if not word.isascii():
+            return lost(word)
+        return bool(_ASCII_LOST.fullmatch(word)) and all(self.likely(m[1], m[2]) for m in _AROUND.finditer(word))
+
     def garbled(self, word: str) -> bool:
         """The first value of ``judge``, without a search for the best restoration where one layer settles it."""
         got = self.flags.get(word)
         if got is None:
             least = self.cost(word) - MIN_DROP
-            got = lost(word) or least >= 1 and any(self.cost(t) - more < least for t, more in self.readings(word)) or self.repaired(word) != word
+            got = self.lost(word) or least >= 1 and not disguised(word) and any(self.cost(t) - more < least for t, more in self.readings(word)) or self.repaired(word) != word
             if len(self.flags) >= self.cache:
                 self.flags.clear()
             self.flags[word] = got
@@ -148,7 +189,7 @@ class Repairer:
         got = self.seen.get(word)
         if got is None:
             fixed = self.repaired(word)
-            got = (fixed != word or lost(word), fixed)
+            got = (fixed != word or self.lost(word), fixed)
             if len(self.seen) >= self.cache:
                 self.seen.clear()
             self.seen[word] = got
@@ -164,20 +205,15 @@ def script_of(c: str) -> str:
     return next((k for k, lo, hi in _SCRIPTS if lo <= c <= hi), "")
 
 
-def mixed(word: str) -> bool:
-    """Whether letters of two alphabets touch."""
-    before = ""
-    for c in word:
-        script = script_of(c)
-        if script and before and script != before and "J" not in (script, before):
-            return True
-        before = script
-    return False
+def disguised(word: str) -> bool:
+    """Whether a word is Latin but for several letters of another script with the shape of a Latin one (problem 10)."""
+    plain = word.translate(_PLAIN)
+    return plain.isascii() and sum(a != b for a, b in zip(word, plain, strict=True)) >= 2 and any("A" <= c <= "z" for c in word)
 
 
 def lost(word: str) -> bool:
-    """Whether a word shows that characters were lost in wrong decoding."""
-    return bool(_ASCII_LOST.search(word)) or bool(_LOST.search(word)) or bool(_SIGN_IN_WORD.search(word)) or mixed(word)
+    """Whether a word beyond ASCII shows that characters were lost in wrong decoding."""
+    return bool(_LOST.search(word)) or bool(_SIGN_IN_WORD.search(word))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,16 +231,16 @@ def _pairs(words: Counter) -> pa.RecordBatch:
     pairs: Counter = Counter()
     for w, n in words.items():
         before = ""
-        for c in (*w, ""):
+        for c in (*map(symbol, w), ""):
             pairs[before, c] += n
             before = c
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string()), pa.array(pairs.values(), pa.int64())], ["a", "b", "n"])
 
 
 def pair_model(contents: DataFrame) -> dict[tuple[str, str], int]:
-    """Character pair counts over the words beyond ASCII of all rows. What reaches the driver is one row per distinct pair of
-    characters that occurs at least twice: bounded by the alphabets in use, not by the rows."""
-    counted = contents.mapInArrow(_count, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
+    """Symbol pair counts over the words beyond ASCII of all rows. What reaches the driver is one row per distinct pair of symbols: bounded
+    by the fixed set of symbols, not by the rows or their scripts."""
+    counted = contents.mapInArrow(_count, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     return {(r.a, r.b): r.n for r in counted.collect()}
 
 
