@@ -41,40 +41,65 @@ def test_talk_about_residue_is_not(line):
     assert not residue.is_residue(f"<p>{html.escape(line)}</p>")
 
 
-def test_no_suspect_is_missed_by_the_gate():
+def test_no_suspect_is_missed_by_the_quick_test():
     r = random.Random(4)
+    seeds = residue.Seeds()
     assert residue.is_residue("Site > Menu\nDorsum pharelis veniat vinculet consectum dorsum. Pharelis elitra tempor vinculet labentis.\nCopyright 2020")
-    filler, home = sorted(residue.FILLER), ["asdf", "jkl", "a", "wedge", "fall"]
-    texts = [*RESIDUE, *FINE, *(" ".join([w, w, "river"]) for w in filler), *(f"The {x.strip()} of the river" for x in residue._SIGNS)]
-    texts += [", ".join(r.choices(words, k=r.randint(3, 9))) for words in (filler, home, ["foo", "bar"], [*filler[:3], "river"]) for _ in range(200)]
-    texts += ["Page not&nbsp;found", "not \t found", "v&eacute;rifi", "no\u0131t found", "\u017fcripts", "Error&#32;404", "&lt;%= title %&gt;", "see [1_a] and {_b.c}", "[\u017femester]", "a-b a-b", "foo, bar; foo. bar: foo/bar"]
+    filler, home, known = sorted(residue.FILLER), ["asdf", "jkl", "a", "las", "fall"], sorted(seeds.vocabulary)
+    texts = [*RESIDUE, *FINE, *(" ".join([w, w, "river"]) for w in filler)]
+    texts += [sep.join(r.choices(words, k=r.randint(1, 12))) for words in (filler, home, known, [*known, "river", "a.b.C", "x7", "12", "client-side", "(", "{{a}}", "no-one's"], ["foo", "bar"], [*filler[:3], "river"]) for sep in (" ", ", ", ". ", "-") for _ in range(150)]
     suspects = 0
     for t in texts:
-        for content in (t, f"Site > Menu\n<p>{t}</p>\nx"):
-            found = residue.segments(content)
-            suspect = any(residue.label(s)[0] for s in found)
-            assert residue.has_sign(found) or not suspect, content
-            suspects += suspect
+        suspect = seeds._label(t)[0]
+        assert seeds.possible(t) or not suspect, t
+        suspects += suspect
     assert suspects > 500
 
 
-def test_residue_pages_and_near_variants(spark):
-    near = "The file you requested has been removed from it all, sorry."  # near the trusted segment, not itself trusted
-    rows = [(1, "Page not found"), (2, "The file you requested has been removed from it all."), (3, near), (4, SENTENCE), (5, None), (6, ""), (1, "Page not found"), (7, "Some error happened in the kitchen, and nobody knows"), (8, "Page not found\n" + SENTENCE * 30), (9, "<noscript>Please enable JavaScript.</noscript><p>x")]
-    df = spark.createDataFrame(rows, PAGES).withColumn("segment", F.lit(1)).withColumn("trusted", F.lit("x"))
-    assert {r.page_id for r in residue.residue_pages(df).collect()} == {1, 2, 3}
-    assert {r.page_id for r in residue.without_residue(df).collect()} == {4, 5, 6, 7, 8, 9}
+HELD_OUT = [  # wordings of another hand; none is a seed as it stands
+    "The document you requested could not be found.", "Sorry, the page you are looking for could not be found", "You do not have permission to open this directory.", "Please enable JavaScript to use this site.", "You need to enable JavaScript to view this website.", "Your browser does not support scripting.",
+    "This portal requires JS.", "The system needs JavaScript.", "This app does not work without client-side scripts", "Please activate scripts to continue", "Fatal error: Uncaught Exception in /www/html/a.php on line 77", "Warning: include(/srv/x/y.php): failed to open stream: No such file or directory in /srv/x/index.php on line 3",
+    "The resource you asked for is no longer here!", "Your session has expired. Please try again later.", "We cannot find that document any longer.", "Diese Seite existiert leider nicht mehr.", "Pagina non trovata", "Die angeforderte Seite wurde leider nicht gefunden.", "La page demandée n'existe pas.", "%FIRSTNAME%: %LASTNAME%", "{% block content %} {% endblock %}",
+    "Checking your browser before accessing the site", "Click to edit this paragraph.", "Your headline goes here", "Insert the description of the course here.", "Quisque ornatum velit, vestibulum nullam dapibus condimentum pellentesque habitant morbi.", "sdfg jklh asdf fdsa", "Dear [NAME], see [DATE_OF_BIRTH]",
+    "The web page you requested could not be located.", "Sorry, you do not have permission to view this page", "Your browser does not currently support JavaScript.", "Please do enable JavaScript to continue", "The page which you requested has been removed.",
+]
+
+
+def test_held_out_wordings_and_what_the_hashes_add():
+    whole, exact = residue.Seeds(), residue.Seeds(near=-1)
+    exact.near = lambda words: words in exact.words  # without the method: only what is a seed as it stands
+    found, alone = (sum(s.label(t)[1] for t in HELD_OUT) for s in (whole, exact))
+    assert found >= 0.9 * len(HELD_OUT) and alone <= found - 0.25 * len(HELD_OUT), (found, alone, [t for t in HELD_OUT if not whole.label(t)[1]])
+
+
+def test_labels_run_along_links(spark):
+    words = [f"w{i}x" for i in range(40)]
+    a, b, c = (" ".join([*words[:i], "other", *words[i:]]) for i in (3, 4, 5))
+    far = " ".join(f"v{i}y" for i in range(40))
+    rows = [(1, None, 1, [(b"a", a, True)], []), (2, None, 2, [(b"b", b, False)], []), (3, None, 3, [(b"c", c, False), (b"d", far, False)], []), (4, None, 4, [(b"d", far, False)], [])]
+    found = spark.createDataFrame(rows, residue._SUSPECTS.format("bigint"))
+    assert {bytes(r.id) for r in residue.labelled_segments(found).collect()} == {b"a", b"b", b"c"}
+
+
+def test_residue_pages(spark):
+    menu = [f"the lines of the menu of this one site number {'abcdefghijklmnopqrstuvwxyz'[i]} come again" for i in range(26)] + [f"another line of the same site, called {'abcdefghijklmnopqrstuvwxyz'[i]}, comes again too" for i in range(26)]
+    side = "\n".join(menu)
+    rows = [(1, "http://a", "Page not found"), (2, "http://a", "The file you requested has been removed."), (4, "http://a", SENTENCE), (5, "http://a", None), (6, None, ""), (1, "http://a", "Page not found"), (7, "http://a", "Some error happened in the kitchen, and nobody knows")]
+    rows += [(8, "http://a", "Page not found\n" + SENTENCE * 30), (9, "http://a", "<noscript>Please enable JavaScript.</noscript><p>x")]
+    rows += [(20 + i, "http://b/x", side + "\nPage not found") for i in range(3)] + [(30, "http://c/x", side + "\nPage not found"), (31, None, side + "\nPage not found")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, content string").withColumn("segments", F.lit(1)).withColumn("trusted", F.lit("x"))
+    assert {r.page_id for r in residue.residue_pages(df).collect()} == {1, 2, 20, 21, 22}  # lines on several such pages of a site are the site's
+    assert {r.page_id for r in residue.without_residue(df).collect()} == {4, 5, 6, 7, 8, 9, 30, 31}
     assert residue.residue_pages(df.limit(0)).count() == 0
-    assert residue.residue_pages(df, df).count() == 3
+    assert residue.residue_pages(df, df.select("page_id", "content")).count() >= 5
 
 
 def test_residue_is_left_out_of_all_tables(spark, tmp_path):
     from textmill.llm.queries import QUERIES
 
     columns = "page_id bigint, path string, url string, content string"
-    near = "The file you requested has been removed from it all, sorry."  # linked to a trusted segment that only pages have
-    pages = [(1, "The file you requested has been removed from it all."), (2, SENTENCE), (3, "Page not found")]
-    texts = [(11, near), (12, SENTENCE), (13, "Page not found"), (14, None)]
+    pages = [(1, "The file you requested has been removed."), (2, SENTENCE), (3, "Page not found")]
+    texts = [(11, "The folder you requested has been removed!"), (12, SENTENCE), (13, "Page not found"), (14, None)]
     for name, rows in (("pages", pages), ("text_pages", texts)):
         spark.createDataFrame([(i, f"p{i}", None, c) for i, c in rows], columns).write.parquet(f"{tmp_path}/{name}.parquet")
     assert {r.page_id for r in QUERIES["p2_found"](spark, str(tmp_path)).collect()} == {1, 3, 11, 13}
@@ -83,14 +108,16 @@ def test_residue_is_left_out_of_all_tables(spark, tmp_path):
 
 def test_simhash_tables_find_all_near_links(spark):
     r = random.Random(2)
-    base = ["".join(r.choice("abcdefgh ") for _ in range(60)) for _ in range(30)]
-    segs = [(b, True) for b in base] + [(b[:k] + r.choice("xyz") + b[k + 1 :], False) for b in base for k in r.sample(range(60), 4)]
+    base = [[f"{r.choice('abcdefgh')}{i}{j}" for i in range(25)] for j in range(30)]
+    segs = [(" ".join(b), True) for b in base] + [(" ".join([*b[:k], "x", *b[k + 1 :]]), False) for b in base for k in r.sample(range(25), 4)]
     sims = {s: residue.simhash(s) & (1 << 64) - 1 for s, _ in segs}
-    import difflib
+    got = {(bytes(x.a).decode(), bytes(x.b).decode()) for x in residue.near_links(spark.createDataFrame([(s.encode(), s, t) for s, t in segs], "id binary, text string, trusted boolean")).collect()}
+
+    def common(a, b):
+        return len(set(a.split()) & set(b.split())) / max(len(set(a.split())), len(set(b.split())))
 
-    got = {(x.a, x.b) for x in residue.near_links(spark.createDataFrame(segs, "segment string, trusted boolean")).collect()}
-    expected = {(a, b) for a, t in segs if not t for b, _ in segs if a != b and bin(sims[a] ^ sims[b]).count("1") <= residue.NEAR and sum(x != y for x, y in zip(a, b, strict=True)) <= 12}
-    assert expected <= got and all(difflib.SequenceMatcher(None, a, b).ratio() > 0.6 for a, b in got)
+    expected = {(a, b) for a, t in segs if not t for b, _ in segs if a != b and bin(sims[a] ^ sims[b]).count("1") <= residue.NEAR and common(a, b) >= residue.SIMILAR}
+    assert expected == got and got
 
 
 # ---- problem 3 --------------------------------------------------------------------------------------------------------
@@ -210,10 +237,12 @@ def test_runs_are_counted_over_all_shards_of_a_host(spark, monkeypatch):
 
 
 def test_residue_pages_have_no_article(spark):
-    near = "The file you requested has been removed from it all, sorry."  # residue only by a link to a segment of another table
+    trusted = "Dear {{ first_name }}, your enrolment number {{ number }} for {{ course_title }} begins on first winter monday"
+    near = trusted + " again"  # residue only by a link to a segment of another table
+    assert residue.label(trusted) == (True, True) and residue.label(near) == (True, False)
     rows = [(1, "<title>Page not found | Site</title>\n<h1>Page not found</h1>"), (2, f"<title>x</title>\n<p>{near}"), (3, f"<title>T</title>\n<h1>T</h1>\n<p>{SENTENCE}")]
     pages = spark.createDataFrame([(i, "http://h.example", c) for i, c in rows], "page_id bigint, url string, content string")
-    other = spark.createDataFrame([(9, "The file you requested has been removed from it all.")], PAGES)
+    other = spark.createDataFrame([(9, trusted)], PAGES)
     assert {tuple(x) for x in mc.main_lines(pages, other).collect()} == {(3, 2), (3, 3)}
     assert [r.page_id for r in mc.main_text(pages, other).collect()] == [3]
 
@@ -299,7 +328,7 @@ def test_names_with_queries_and_look_alikes_are_not_garbled():
     for right in ("index.php?id=3", "view.cgi?course=5", "really?yes", "see?it works", "αcell", "s\u0435m\u0430ph\u043er\u0435", "ａｂｃ"):
         assert not er.judge_text(r, right)[0] and not any(map(r.garbled, er.hard_words(right))), right
     for bad in ("sp?t genug", "b?squeda", "Gr??e"):
-        assert any(map(r.garbled, er.hard_words(bad))) == (bad != "Gr??e"), bad  # two lost letters side by side aren't judged from ASCII alone
+        assert any(map(r.garbled, er.hard_words(bad))), bad
 
 
 def test_symbols_are_bounded():
