@@ -1,39 +1,43 @@
 """Page boilerplate mixed with main content (problem 5).
 
-The pages of a host are one token stream (a token is the text between two tags of a line, numbers masked). Prefix doubling
-gives the suffixes of each page fingerprints of their first 1, 2, 4, 8 tokens; suffixes of equal fingerprint share a substring
-of that length. Substrings that stand on ``MIN_PAGES`` distinct pages of the host and are long enough in words are
-boilerplate, and the tokens they cover are removed. What is left are unique runs; the article is the
-unique run that belongs to the page's headline: the rest of the innermost container in which the headline stands (and of the
-sections beside it), or of a page without containers the lines down to the next side block.
+The pages of a host are one token stream (a token is the text between two tags of a line, numbers masked; right after the headline,
+where byline and date stand, capitalised words too). Prefix doubling gives the suffixes of each page fingerprints of their first
+1, 2, 4, 8 tokens; suffixes of equal fingerprint share a substring of that length. Substrings of ``MIN_WORDS`` words or more that
+stand on ``MIN_PAGES`` distinct pages of the host are boilerplate, as are single tokens of fewer words on ``SHORT_SHARE`` of its
+pages, and what they cover is removed: menus, side headings, prompts, notices and bylines are known by nothing else. What is left are
+unique runs; the article is the unique run that belongs to the page's headline: the uncovered rest of the innermost container
+in which the headline stands (and of the sections beside it), or of a page without containers the lines down to the
+next covered one after its first paragraph.
 
 A host is worked on in shards of about ``SHARD_PAGES`` pages or ``SHARD_CHARS`` characters, so no task holds a whole large host.
 The shards of a host count their pages by fingerprint, the counts are summed over the host, and every shard gets back those
-of its fingerprints that are repeated on the host; so results don't depend on the shards.
+of its fingerprints that are repeated on the host; so results don't depend on the shards, nor on other hosts.
 
 Defined results: null and empty contents, pages without visible text and residue pages (problem 2) give nothing; pages
-without a host are one host; exact duplicate rows count once; a page cut off at its end keeps what is there; a page in which
-no headline is found keeps its unique run with the most words.
+without a host are one host; exact duplicate rows count once, of several contents of one page id a shard takes the greatest;
+a page cut off at its end keeps what is there; a page in which no headline is found keeps its unique run with the most words.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm import residue
 from textmill.llm.site_lines import site_of
-from textmill.operators.skew import heavy_keys
+from textmill.operators.skew import salted_join
+from textmill.session import cut_lineage
 
-SHARD_PAGES, SHARD_CHARS = 1500, 16_000_000
-MIN_WORDS = 4  # words that a repeated substring must have
-MIN_PAGES = 3  # distinct pages of the host on which it must stand
+SHARD_PAGES, SHARD_CHARS = 1500, 16_000_000  # of a task; results don't depend on them
+MIN_WORDS, MIN_PAGES = 4, 3  # words that a repeated substring must have, and distinct pages of the host on which it must stand
+SHORT_SHARE = 0.04  # of the host's pages, on which a single token of fewer words must stand (and on MIN_PAGES)
+LEAD = 3  # visible lines after the headline that may be byline and date
 
 _GONE = re.compile(r"(?is)<(script|style|noscript|title)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body))")
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)(?:</title|\n|$)")
@@ -44,18 +48,7 @@ _MARKED = _OPENERS | {"pre"}
 _SIDES = frozenset("aside header footer nav center form dialog".split())
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
-# Prompts, notices and side headings as whole lines, numbers masked as 0.
-_SIDE_HEAD = re.compile(r"(?:quick links|see also|opening hours|related(?: (?:links|pages|articles))?|most read|latest from .+|further links|recent posts|popular|comments|0 comments)[.:]?", re.I)
-_PROMPT = re.compile(
-    r"0 people liked this|share: .+|print this page.*|tell a friend.*|sign up for .+|get our .+ by mail .*|subscribe to .+|follow us.*|back to top|accessibility statement|imprint \| privacy \| terms"
-    r"|.*\bcookies?\b.*(?:accept|settings|choose|choices|aceptar|rechazar|akzeptieren|accepter).*|.+ needs your consent .+|we and \w+ store small files .+|your privacy matters .+|(?:©|\(c\)|copyright) .+"
-    r"|.{0,60}(?:all rights reserved|alle rechte vorbehalten)\.?",
-    re.I,
-)
-_BYLINE = re.compile(r"(?:by|von|par|por) .{3,60}, 0 \w+(?: 0)?|(?:posted|published|updated|written)(?: on| by)? .{3,60}|0 \w+ 0(?:, 0:0)?", re.I)
-_BYLINE_TAG = re.compile(r"""(?i)<(?:span|p|div|small|time)\b[^>]*class=["']?(?:by|byline|meta|info|date|author)\b|<time\b""")
-_CRUMBS = re.compile(r"[^<>.]{1,40}(?: (?:>|»|›|::) [^<>.]{1,40})+")
-_MENU = re.compile(r"\S+(?: \S+)?(?: [|/·•] \S+(?: \S+)?){2,}")
+_CAPITAL = re.compile(r"\b[^\W\d_a-z]\w*")
 
 
 class Page:
@@ -73,6 +66,20 @@ class Page:
         self.tokens: list[str] = []
         self.token_line: list[int] = []
         self._read()
+        lead, start = set(), self.headline([False] * len(self.text))
+        if start is not None:
+            lead = set([n for n in range(start + 1, len(self.text)) if self.text[n]][:LEAD])
+        self.lead = [n in lead for n in self.token_line]
+
+    def keys(self) -> list[str]:
+        """The tokens as they are compared: numbers masked, in lower case; those after the headline that have a number and capitalised
+        words, as a byline has, with these masked too."""
+        out = []
+        for t, near in zip(self.tokens, self.lead, strict=True):
+            plain = _DIGITS.sub("0", t)
+            shape = _CAPITAL.sub("A", plain) if near and plain != t else plain
+            out.append(plain.lower() if shape == plain else "\1" + shape)
+        return out
 
     def _read(self) -> None:
         stack, in_pre = [0], False
@@ -156,27 +163,19 @@ class Page:
             start = next(n for n, t in enumerate(self.text) if t and self.home[n] == top)
         top = self.home[start]
         beside = self.parent[top] if self.kind[top] == "section" else None
-        found = []
+        found, body = [], 0
         for n in range(start, len(self.text)):
-            t, c = " ".join(self.text[n].split()), self.home[n]
+            t, c = self.text[n], self.home[n]
             if not t or not self.within(c, top) and not (beside is not None and c != beside and self.within(c, beside) and self._section(c, beside)):
                 continue
-            masked = _DIGITS.sub("0", t)
-            if n > start:
-                if self.pre[n]:
-                    found.append(n + 1)
-                    continue
-                if _SIDE_HEAD.fullmatch(masked):
-                    if top == 0:
-                        break
-                    continue
-                if covered[n] or _PROMPT.fullmatch(masked) or _CRUMBS.fullmatch(t) or _MENU.fullmatch(t):
-                    continue
-                if _BYLINE.fullmatch(masked) and (_BYLINE_TAG.search(self.raw[n]) or len(t) < 60):
-                    continue
+            if n > start and not self.pre[n] and covered[n]:
+                if top == 0 and body:  # a page without containers: its unique run ends here
+                    break
+                continue
             if top == 0 and self.aside(c):
                 continue
             found.append(n + 1)
+            body += n > start and not _HEADING.search(self.raw[n])
         return found
 
     def _section(self, c: int, beside: int) -> bool:
@@ -185,23 +184,26 @@ class Page:
         return self.kind[c] == "section"
 
 
-def runs(pages: list[Page]) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+def runs(pages: list[Page]) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, bool]]]:
     """The page of each token, and for 1, 2, 4, 8 tokens the starts and 64-bit fingerprints of the runs within one page that
-    have enough words."""
+    have enough words; beside them the single tokens of fewer words (``True`` at the end)."""
     ids: dict[str, int] = {}
     stream, words = [], []
     for page in pages:
-        for t in page.tokens:
-            stream.append(ids.setdefault(_DIGITS.sub("0", t).lower(), len(ids)))
+        for t in page.keys():
+            stream.append(ids.setdefault(t, len(ids)))
             words.append(t.count(" ") + 1)
     owner = np.repeat(np.arange(len(pages)), [len(p.tokens) for p in pages])
-    prints = np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest()) for t in ids], np.uint64)
+    prints = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in ids], np.uint64)
     prints = prints[np.array(stream, np.int64)]
     weight = np.concatenate([[0], np.cumsum(np.array(words, np.int64))])
     found, length = [], 1
+    if len(prints):
+        short = np.flatnonzero(np.diff(weight) < MIN_WORDS)
+        found.append((1, short, prints[short].view(np.int64), True))
     while len(prints):
         at = np.flatnonzero((owner[length - 1 :] == owner[: len(prints)]) & (weight[length:] - weight[: len(prints)] >= MIN_WORDS))
-        found.append((length, at, prints[at].view(np.int64)))
+        found.append((length, at, prints[at].view(np.int64), False))
         if length == 8 or len(prints) <= length:
             break
         prints = _mixed(_mixed(prints[:-length]) + prints[length:])
@@ -217,10 +219,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def page_counts(owner: np.ndarray, found: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, number of distinct pages) of runs."""
-    prints = np.concatenate([x for _, _, x in found]) if found else np.zeros(0, np.int64)
-    pages = np.concatenate([owner[at] for _, at, _ in found]) if found else prints
+def page_counts(owner: np.ndarray, found: list[tuple[int, np.ndarray, np.ndarray, bool]], short: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, number of distinct pages) of the runs with enough words, or of the short ones."""
+    found = [f for f in found if f[3] == short]
+    prints = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.int64)
+    pages = np.concatenate([owner[f[1]] for f in found]) if found else prints
     order = np.lexsort((pages, prints))
     prints, pages = prints[order], pages[order]
     new = np.ones(len(prints), bool)
@@ -229,14 +232,14 @@ def page_counts(owner: np.ndarray, found: list[tuple[int, np.ndarray, np.ndarray
 
 
 def covered_tokens(pages: list[Page], repeated: np.ndarray | None = None) -> list[np.ndarray]:
-    """Per page, which of its tokens lie in a long substring that stands on enough distinct pages: one of the fingerprints
-    ``repeated``, which are counted over ``pages`` where they aren't given."""
+    """Per page, which of its tokens lie in a substring that is repeated on the host: one of the fingerprints ``repeated``, which
+    are counted over ``pages`` where they aren't given."""
     owner, found = runs(pages)
     if repeated is None:
-        prints, on_pages = page_counts(owner, found)
-        repeated = prints[on_pages >= MIN_PAGES]
+        (long, n), (brief, m) = (page_counts(owner, found, short) for short in (False, True))
+        repeated = np.concatenate([long[n >= MIN_PAGES], brief[(m >= MIN_PAGES) & (m >= SHORT_SHARE * len(pages))]])
     marks = np.zeros(len(owner) + 1, np.int64)
-    for length, at, prints in found:
+    for length, at, prints, _ in found:
         at = at[np.isin(prints, repeated)]
         np.add.at(marks, at, 1)
         np.add.at(marks, at + length, -1)
@@ -275,36 +278,50 @@ def _shard(t: pa.Table, repeated: np.ndarray | None = None) -> pa.Table:
 
 
 def _texts(t: pa.Table, repeated: np.ndarray | None = None) -> pa.Table:
-    found = _shard(t, repeated).to_pandas().groupby("page_id")["line_no"].apply(list)
-    content = _contents(t)
-    out = [(p, "\n".join(Page(content[p]).text[n - 1] for n in lines)) for p, lines in found.items()]
-    return pa.table({"page_id": pa.array([p for p, _ in out], pa.int64()), "article": pa.array([a for _, a in out], pa.string())})
+    first = _contents(t)
+    ids, texts = [], []
+    for (page, content), found in zip(first.items(), article_lines(list(first.values()), repeated), strict=True):
+        if found:
+            shown = Page(content).text
+            ids.append(page)
+            texts.append("\n".join(shown[n - 1] for n in found))
+    return pa.table({"page_id": pa.array(ids, pa.int64()), "article": pa.array(texts, pa.string())})
+
+
+MOST_BROADCAST = 1_000_000  # rows (of two numbers) up to which the shards of large hosts are broadcast
 
 
 def host_shards(pages: DataFrame) -> DataFrame:
     """(page_id, content, host, shard, split): pages with the shard of their host, by page id, and whether the host has several.
-    The numbers of shards of the hosts with at least a millionth of all characters, the only ones that could be large, are a
-    broadcast of bounded size."""
-    rows = pages.where(F.col("page_id").isNotNull() & (F.col("content") != "")).select(F.col("page_id").cast("bigint").alias("page_id"), "content", F.coalesce(site_of(F.col("url")), F.lit("")).alias("host"))
+
+    A host has as many shards as its own pages and characters ask for. The hosts with several are counted: up to
+    ``MOST_BROADCAST`` are broadcast, more are joined by shuffle (whose skew is split at run time)."""
+    rows = pages.where(F.col("page_id").isNotNull() & (F.col("content") != "")).select(F.col("page_id").cast("bigint").alias("page_id"), "content", F.xxhash64(F.coalesce(site_of(F.col("url")), F.lit(""))).alias("host"))
     sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
     shards = F.ceil(F.greatest(F.col("n") / SHARD_PAGES, F.col("chars") / SHARD_CHARS)).cast("int")
-    large = heavy_keys(sizes, "chars", 1, 1_000_000).select("host", shards.alias("shards")).where("shards > 1")
+    large = cut_lineage(sizes.select("host", shards.alias("shards")).where("shards > 1"))
+    if large.count() <= MOST_BROADCAST:
+        large = F.broadcast(large)
     shard = F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))).cast("int")
-    return rows.join(F.broadcast(large), "host", "left").select("page_id", "content", F.xxhash64("host").alias("host"), shard.alias("shard"), F.col("shards").isNotNull().alias("split"))
+    return rows.join(large, "host", "left").select("page_id", "content", "host", shard.alias("shard"), F.col("shards").isNotNull().alias("split"))
 
 
 def _counts(t: pa.Table) -> pa.Table:
-    prints, on_pages = page_counts(*runs([Page(c) for c in _contents(t).values()]))
-    n = len(prints)
-    return pa.table({"host": pa.array(np.full(n, t.column("host")[0].as_py(), np.int64)), "shard": pa.array(np.full(n, t.column("shard")[0].as_py(), np.int32)), "run": pa.array(prints), "n": pa.array(on_pages.astype(np.int32))})
+    owner, found = runs([Page(c) for c in _contents(t).values()])
+    parts = [page_counts(owner, found, short) for short in (False, True)]
+    n = sum(len(p) for p, _ in parts)
+    key = {c: pa.array(np.full(n, t.column(c)[0].as_py(), kind)) for c, kind in (("host", np.int64), ("shard", np.int32))}
+    return pa.table(key | {"run": pa.array(np.concatenate([p for p, _ in parts])), "short": pa.array(np.repeat([False, True], [len(p) for p, _ in parts])), "n": pa.array(np.concatenate([m for _, m in parts]).astype(np.int32))})
 
 
 def repeated_runs(split: DataFrame) -> DataFrame:
     """(host, shard, run): of each shard of the split hosts, the runs that stand on enough distinct pages of the host. A page
     is in one shard only, so the shards' counts of distinct pages add up."""
-    counts = split.groupBy("host", "shard").applyInArrow(_counts, "host bigint, shard int, run bigint, n int")
-    hosts = counts.groupBy("host", "run").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shards")).where(F.col("n") >= MIN_PAGES)
-    return hosts.select("host", F.explode("shards").alias("shard"), "run")
+    counts = split.groupBy("host", "shard").applyInArrow(_counts, "host bigint, shard int, run bigint, short boolean, n int")
+    hosts = split.groupBy("host").agg(F.count_distinct("page_id").alias("pages"))
+    runs_ = counts.groupBy("host", "run", "short").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shards")).where(F.col("n") >= MIN_PAGES)
+    enough = salted_join(runs_, hosts, ["host"], F.col("run")).where(~F.col("short") | (F.col("n") >= F.lit(SHORT_SHARE) * F.col("pages")))
+    return enough.select("host", F.explode("shards").alias("shard"), "run")
 
 
 def _by_host(pages: DataFrame, others: tuple[DataFrame, ...], work, schema: str) -> DataFrame:
