@@ -4,7 +4,8 @@ Every record is cut into segments (lines, and texts between tags), of which slot
 asked for are masked. What is known beforehand is little: how an unfilled slot and filler look, and ``SEEDS``, some dozens of
 labelled messages. A segment is trusted if it is made of slots or filler, or if it is a near-duplicate of a seed: the Hamming distance
 of their word SimHashes is at most ``SEED_NEAR`` of 64 bits (the seeds are few, so all are compared at once) and they share at least
-``SIMILAR`` of the words of the longer one. At least ``HALF`` of a suspect's words are words of seeds.
+``SIMILAR`` of the words of the longer one. At least ``SUSPECT`` of a suspect's words are
+words of seeds.
 
 The distinct suspects get a second SimHash, over character shingles. Tables keyed by every pair of eight 8-bit partitions bring
 together all pairs that differ in at most ``NEAR`` bits; Hamming distance and shared words are verified, and the trusted
@@ -34,7 +35,7 @@ from textmill.llm.site_lines import site_of
 from textmill.operators.skew import salted_join
 from textmill.session import cut_lineage
 
-SEED_NEAR, BLOCKS, NEAR, SIMILAR, HALF = 24, 8, 6, 0.8, 0.5
+SEED_NEAR, BLOCKS, NEAR, SIMILAR, SUSPECT = 24, 8, 6, 0.8, 0.6
 OWN_WORDS = 250  # words of its own from which a record has content
 SITE_PAGES = 3  # suspected records of a site on which a line must stand to be the site's
 
@@ -121,9 +122,9 @@ def idle(words: list[str]) -> bool:
     return len(set(words)) == 1 or len(set(words)) == 2 and len(words) >= 6 or sum(not w.strip(HOME_ROW) for w in words) >= 0.8 * len(words)
 
 
-def filled(low: str) -> bool:
+def filled(low: str, tokens: list[str] | None = None) -> bool:
     """Whether a lower-case segment is filler: mostly its words or words with Latin endings, or idle typing."""
-    living = not _LIVING.isdisjoint(low.split())
+    living = not _LIVING.isdisjoint(low.split() if tokens is None else tokens)
     if living and not _FILLER_START.search(low):
         return len(low.translate(_AT_HOME)) < 0.3 * len(low) and idle(_WORD.findall(low))
     words = _WORD.findall(low)
@@ -184,23 +185,21 @@ class Seeds:
     def possible(self, segment: str) -> bool:
         """A quick test that no suspect fails: slots, filler, or enough words that may be those of seeds. A token that isn't letters only
         counts as often as it could have words."""
-        if _SLOTTED.search(segment):
+        if _SLOTTED.search(segment) and _SLOT.search(segment):
             return True
         low = segment.lower()
-        yes = no = 0
-        for t in low.split():
-            if t in self.plain:
-                yes += 1
+        tokens, plain = low.split(), self.plain
+        rest = [t for t in tokens if t not in plain]
+        spare = 2 * (len(tokens) - len(rest))  # 2 for each word of seeds, -3 for each other: below 0 where they are less than SUSPECT
+        for t in rest:
+            t = t.strip(_EDGES)
+            if not t.isalpha():
+                spare += 2 * ((len(t) + 1) // 2) if t.upper() != t or not t.isascii() else 2 * ("." in t)
+            elif t in plain:
+                spare += 2
             else:
-                t = t.strip(_EDGES)
-                if t.isalpha():
-                    if t in self.plain:
-                        yes += 1
-                    else:
-                        no += 1
-                else:
-                    yes += (len(t) + 1) // 2 if t.upper() != t or not t.isascii() else "." in t
-        return yes >= no or filled(low)
+                spare -= 3
+        return spare >= 0 or filled(low, tokens)
 
     def _label(self, segment: str) -> tuple[bool, bool]:
         slots = len(_SLOT.findall(segment)) if _SLOTTED.search(segment) else 0
@@ -212,7 +211,7 @@ class Seeds:
         if filled(segment.lower()):
             return True, True
         words = terms(segment)
-        if not words or sum(w in self.vocabulary for w in words) < HALF * len(words):
+        if not words or sum(w in self.vocabulary for w in words) < SUSPECT * len(words):
             return slots > 0, False
         if self.near(words):
             return True, True
@@ -239,15 +238,16 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, found, own = [], [], []
         for i, content in enumerate(b.column(2).to_pylist()):
-            suspects, others = {}, {}
-            for s in segments(content):
-                suspect, trusted = label(s)
-                if suspect:
+            shown = segments(content)
+            labels = list(map(label, shown))
+            if (True, False) in labels or (True, True) in labels:
+                suspects, others = {}, {}
+                for s, (suspect, trusted) in zip(shown, labels, strict=True):
                     m = masked(s)
-                    suspects[m] = suspects.get(m, False) or trusted
-                if not trusted and (n := s.count(" ") + 1) >= 6:
-                    others[masked(s)] = n
-            if suspects:
+                    if suspect:
+                        suspects[m] = suspects.get(m, False) or trusted
+                    if not trusted and (n := s.count(" ") + 1) >= 6:
+                        others[m] = n
                 rows.append(i)
                 found.append([{"id": _id(m), "text": m, "trusted": t} for m, t in suspects.items()])
                 own.append([{"id": _id(m), "n": n} for m, n in others.items()])
@@ -312,7 +312,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
     a = tabled.where(~F.col("trusted")).select("key", F.col("id").alias("a"), F.col("sim").alias("sa"))
     b = tabled.select("key", F.col("id").alias("b"), F.col("sim").alias("sb"))
     near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= NEAR
-    pairs = salted_join(a, b, ["key"], F.col("a"), 8).where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
+    pairs = a.join(b, "key").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
     texts = distinct.select("id", F.split("text", " ").alias("w"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(texts.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size(F.array_distinct("wa")), F.size(F.array_distinct("wb")))
