@@ -1,14 +1,16 @@
-"""Markup residue in text documents (problem 3): a linear-chain conditional random field over leaf blocks.
+"""Markup residue in text documents (problem 3): a linear-chain conditional random field over DOM leaf blocks.
 
-A page's leaf blocks are its lines; their ancestors are the open containers of any notation (pre, fence, verbatim, wikitable,
-itemize and so on). Each block has ancestor features and text features (kinds of constructs and of look-alikes). The field has
-the labels plain, html, markdown, wiki, latex and code (the inside of a code container), is trained by maximum likelihood
-(forward-backward, Adam) on labelled pages, and decodes by Viterbi. The labelled pages are written here: ``TRAINING_PAGES`` pages
-with known labels, from a fixed seed, so every run trains the same field in a few seconds.
+A page is read as a tree: HTML elements and the containers of other notations (fence, verbatim, wikitable, itemize and so on) are its
+inner nodes, the stretches of a line between tags its leaf blocks. Each block has features of its ancestors (open elements by kind,
+the tags beside it, the container it stands in) and of its text: ``SIGNS``, which tell only that a sign of a notation occurs
+(a star, a backslash before letters, double brackets) and not that it is markup, and look-alikes. The field has the labels plain,
+html, markdown, wiki, latex and code (the inside of a code container), is trained by maximum likelihood (forward-backward, Adam) on
+labelled pages, and decodes by Viterbi. The labelled pages are written here: ``TRAINING_PAGES`` pages with known labels, from a fixed
+seed, so every run trains the same field in a few seconds.
 
-A page is written in a notation if a block is decoded as it and, as an exact check, has a construct of it.
+A page is written in a notation if a block is decoded as it; nothing else decides.
 
-Defined results: null and empty contents, and pages without a construct, give nothing; a page may have several notations;
+Defined results: null and empty contents, and pages without any sign, give nothing; a page may have several notations;
 exact duplicate rows count once; cut-off constructs count.
 """
 
@@ -41,35 +43,42 @@ _COMMANDS = (
 )
 _SWITCHES = "it|bf|em|tt|sc|rm|sf|sl|tiny|scriptsize|footnotesize|small|normalsize|large|Large|LARGE|huge|Huge|itshape|slshape|scshape|upshape|bfseries|mdseries|rmfamily|sffamily|ttfamily"
 
-#: kinds of constructs: (notation, name, pattern)
-CONSTRUCTS = [(g, n, re.compile(p, f)) for g, n, p, f in (
-    ("html", "element", rf"(?<![<\w])(?<!List)</?(?:{_ELEMENTS})(?:\s+[\w-]+(?:\s*=\s*(?:\"[^\"]*\"?|'[^']*'?|[^\s<>\"']+))?)*\s*/?>(?!>)", re.I),
-    ("html", "inline", r"(?<=[\w.,;:!?)])(?<!List)<(?:/?(?:sup|sub|b|i|em|strong|span|a|font|br|p|li|div|td|tr|u|s|small|big|tt|code|h[1-6])(?:\s[^<>]*)?/?)>(?!>)", re.I),
-    ("html", "cut", rf"<(?:a href|div class|span style|span class|font color|img src|td |table |p class)[^<>]*$", re.I),
-    ("html", "entity", rf"&(?:{_ENTITIES});", 0),
-    ("html", "comment", r"<!--|<!DOCTYPE", re.I),
-    ("markdown", "heading", r"^\s{0,3}#{1,6} +(?!\[\[)\S", 0),
-    ("markdown", "underline", r"^(?:={4,}|-{4,})\s*$", 0),
-    ("markdown", "bold", r"(?<![*\w])(?:\*{2,3})(?=[^\s*])[^*]*[^\s*]\*{2,3}(?!\w)|(?<!\w)__(?=[^\s_])[^_]*[^\s_]__(?!\w)", 0),
-    ("markdown", "strike", r"~~[^~\s][^~]*~~", 0),
-    ("markdown", "link", r"(?<!\[)!?\[[^\[\]]+\]\((?:[^()\s]+)(?:\s+\"[^\"]*\")?\)", 0),
-    ("markdown", "reference", r"(?<!\[)\[[^\[\]]+\]\[\w{1,4}\]|^\[[^\[\]]+\]: +<?(?:/|https?:|#)\S*", 0),
+_TAG = re.compile(rf"(?<![<\w])<(/?)({_ELEMENTS})(?=[\s/>])[^<>]*>?(?!>)|(?<=[\w.,;:!?)])(?<!List)<(/?)(sup|sub|b|i|em|strong|span|a|font|br|p|li|div|td|tr|u|s|small|big|tt|code|h[1-6])(?=[\s/>])[^<>]*>?(?!>)", re.I)
+_KINDS = {t: k for k, names in {"head": "h1 h2 h3 h4 h5 h6", "list": "ul ol li dl dt dd", "table": "table tr td th tbody thead", "inline": "a b i u s em strong span font sup sub code tt small big q cite kbd var mark"}.items() for t in names.split()}  # all others are blocks
+_VOID = frozenset("br hr img input meta link".split())
+
+#: signs of the notations: (notation, name, pattern)
+SIGNS = [(g, n, re.compile(p, f)) for g, n, p, f in (
+    ("html", "entity", r"&#?\w{2,8};", 0),
+    ("html", "known entity", rf"&(?:{_ENTITIES});", 0),
+    ("html", "comment", r"<!", 0),
+    ("markdown", "hashes", r"^\s*#{1,6} +\S", 0),
+    ("markdown", "rule", r"^(?:={3,}|-{3,})\s*$", 0),
+    ("markdown", "stars", r"\*{2,}\S|\S\*{2,}", 0),
+    ("markdown", "underscores", r"(?<!\w)__+\w|\w__+(?!\w)", 0),
+    ("markdown", "tildes", r"~~\S", 0),
+    ("markdown", "link", r"\]\(\S+", 0),
+    ("markdown", "reference", r"\]\[\w+\]|^\[[^\[\]]+\]: +\S*[/#]", 0),
     ("markdown", "fence", r"^\s*(?:```|~~~)", 0),
-    ("markdown", "code", r"(?<!`)`[^`\s](?:[^`]*[^`\s])?`(?!`)", 0),
-    ("markdown", "table", r"^\s*\|(?:\s*:?-{2,}:?\s*\|)+\s*$|^\s*\|(?:[^|]*\|){2,}\s*$", 0),
-    ("markdown", "quote", r"^> ?\S", 0),
-    ("wiki", "heading", r"^(={2,6}) ?(?=[^=\s]).*[^=\s] ?\1\s*$", 0),
-    ("wiki", "bold", r"(?<!['`])'{2,3}(?=[^'\s])(?:[^'`]|'(?!'))*[^'\s]'{2,3}(?!')", 0),
-    ("wiki", "link", r"\[\[[^\[\]]+\]\]|\[\[(?:File|Image|Category):", 0),
-    ("wiki", "template", r"\{\{[A-Za-z][^{}|]*\|[^{}]*(?:\}\}|$)", 0),
-    ("wiki", "table", r"^\s*(?:\{\|(?:\s*\w+\s*=.*)?|\|\}|\|-+|\|\+.*)\s*$", 0),
-    ("wiki", "indent", r"^:{1,4} (?=\S)|^[*#:;]{1,4} ?\[\[|^::", 0),
-    ("wiki", "tag", r"<(?:nowiki|ref|math|syntaxhighlight|source lang)[\s/>=]|__(?:NO)?TOC__|^#REDIRECT", 0),
-    ("latex", "command", rf"\\(?:{_COMMANDS})\*?(?:\[[^\]]*\])?\{{", 0),
+    ("markdown", "tick", r"`", 0),
+    ("markdown", "ticks around", r"(?<!`)`[^`\s](?:[^`]*[^`\s])?`(?!`)", 0),
+    ("markdown", "bars", r"^\s*\|.*\|\s*$", 0),
+    ("markdown", "quote", r"^>", 0),
+    ("wiki", "equals", r"^={2,6}.*\w.*={2,6}\s*$", 0),
+    ("wiki", "quotes", r"(?<!')'{2,3}(?!')", 0),
+    ("wiki", "brackets", r"\[\[|\]\]", 0),
+    ("wiki", "braces", r"\{\{\s*\w[^{}]*\|", 0),
+    ("wiki", "table", r"^\s*(?:\{\||\|\}|\|-|\|\+)", 0),
+    ("wiki", "indent", r"^:{1,4} ?\S|^[*#:;]{1,4} ?\[\[", 0),
+    ("wiki", "tag", r"<(?:nowiki|ref|math|syntaxhighlight|source)\b|__[A-Z]+__|^#REDIRECT", 0),
+    ("latex", "command", r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{", 0),
+    ("latex", "known command", rf"\\(?:{_COMMANDS})\b", 0),
     ("latex", "switch", rf"\{{\s*\\(?:{_SWITCHES})(?![A-Za-z])", 0),
-    ("latex", "item", r"^\s*\\(?:item\b|maketitle|tableofcontents|noindent|hline|centering|newpage|bigskip)", 0),
-    ("latex", "math", r"\\\(.+|\\\[.*|^\s*\\\]|\$\$[^$]+\$\$|\$(?=[^\s$\d({])[^$=;]*[_^\\][^$;]*\$", 0),
-    ("latex", "quotes", r"``[^`']+''|''\\,|~\\(?:cite|ref)", 0),
+    ("latex", "item", r"^\s*\\[a-z]+", 0),
+    ("latex", "display", r"\\[(\[\])]", 0),
+    ("latex", "dollars", r"\$[^$]+\$", 0),
+    ("latex", "formula", r"\$(?=[^\s$\d({])[^$=;]*[_^\\][^$;]*\$|\$\$[^$]+\$\$", 0),
+    ("latex", "ticks", r"``[^`']+''|''\\,|~\\[a-z]", 0),
 )]
 #: look-alikes that are no markup
 DECOYS = [(n, re.compile(p)) for n, p in (
@@ -78,15 +87,16 @@ DECOYS = [(n, re.compile(p)) for n, p in (
     ("number", r"^\s*\d+\) "), ("frame", r"^(?:-- .* --|\+\+\+ .* \+\+\+|→ .*|\[[^\[\]]* [^\[\]]*\])$"), ("crumbs", r"\w\s+>\s+\w"), ("bars", r"\w\s+\|\s+\w"),
     ("slot", r"\{\{\s*[\w.]+\s*\}\}|<%|<<\w|%\(\w|[$#]\{\w|\$\(\w|@@\w|%%\w|###\w|\{\w+\}|\[(?:INSERT |insert )?[\w.]+\]|\[object"),
 )]
-FEATURES = ("bias", "empty", "sentence", "short", "long", "shout", *(f"{g}.{n}" for g, n, _ in CONSTRUCTS), *(f"decoy.{n}" for n, _ in DECOYS), "in.pre", "in.fence", "in.verbatim", "in.wikitable", "in.list", "below text")
+FEATURES = ("bias", "empty", "sentence", "short", "long", "shout", *(f"{g}.{n}" for g, n, _ in SIGNS), *(f"decoy.{n}" for n, _ in DECOYS), "in.pre", "in.fence", "in.verbatim", "in.wikitable", "in.list", "below text", "above rule", *(f"{w}.{k}" for w in ("under", "after", "before") for k in ("block", "head", "list", "table", "inline")), "part of line", "cut tag")
 _AT = {f: i for i, f in enumerate(FEATURES)}
+_RULE = re.compile(r"(?:={3,}|-{3,})\s*$")
 _SIGN = re.compile(r"[<>&#*_`~|\[\]{}\\$='^:@•→+%/-]")
 _INLINE_CODE = re.compile(r"`[^`]+`")
 
 
 def ancestors(lines: list[str]) -> list[str]:
     """The code container or list in which each line stands: "", pre, fence, verbatim, wikitable or list. A container without
-    an end holds nothing, except that a page may be cut off within its last eight lines."""
+    an end (a page may be cut off) holds the lines down to the next empty one."""
     inside, n = [""] * len(lines), len(lines)
     opening = (("pre", re.compile(r"<pre\b", re.I), re.compile(r"</pre", re.I)), ("fence", re.compile(r"^\s*(?:```|~~~)"), re.compile(r"^\s*(?:```|~~~)")),
                ("verbatim", re.compile(r"\\begin\{(?:verbatim|lstlisting|minted|equation|align)"), re.compile(r"\\end\{(?:verbatim|lstlisting|minted|equation|align)")),
@@ -99,7 +109,9 @@ def ancestors(lines: list[str]) -> list[str]:
                 if m := begin.search(lines[i]):
                     if end is not begin and name != "fence" and end.search(lines[i], m.end()):
                         break
-                    stop = next((j for j in range(i + 1, n) if end.search(lines[j])), n if n - i <= 8 else i)
+                    stop = next((j for j in range(i + 1, n) if end.search(lines[j])), None)
+                    if stop is None:
+                        stop = next((j for j in range(i + 1, n) if not lines[j].strip()), n)
                     for j in range(i + 1, stop):
                         inside[j] = name
                     if name != "list":
@@ -109,12 +121,45 @@ def ancestors(lines: list[str]) -> list[str]:
     return inside
 
 
-def features(lines: list[str]) -> list[list[int]]:
-    """Feature numbers of each line."""
-    inside, out = ancestors(lines), []
+def leaves(lines: list[str], inside: list[str]) -> list[tuple[int, str, set[str]]]:
+    """The leaf blocks in order: line number, text, and what is known from the tree: the kinds of open elements (under), and of the tags
+    right before and after the block. A line without text between its tags is one empty block. Within code nothing is a tag."""
+    out: list[tuple[int, str, set[str]]] = []
+    stack: list[str] = []
     for i, line in enumerate(lines):
-        t = line.strip()
-        f = [0]
+        tags = list(_TAG.finditer(line)) if "<" in line and inside[i] not in ("pre", "fence", "verbatim") else ()
+        if not tags:
+            out.append((i, line, {f"under.{_KINDS.get(t, 'block')}" for t in stack}))
+            continue
+        at, before, parts = 0, None, []
+        for m in [*tags, None]:
+            text = line[at : m.start() if m else len(line)]
+            kind = _KINDS.get((m[2] or m[4]).lower(), "block") if m else None
+            if text.strip() or m is None and not parts:
+                known = {f"under.{_KINDS.get(t, 'block')}" for t in stack} | ({f"after.{before}"} if before else set()) | ({f"before.{kind}"} if kind else set())
+                parts.append((i, text, known | {"part of line"}))
+            if m:
+                name = (m[2] or m[4]).lower()
+                if m[1] or m[3]:
+                    if name in stack:
+                        del stack[len(stack) - 1 - stack[::-1].index(name) :]
+                elif name not in _VOID:
+                    if name in ("p", "li", "td", "tr") and name in stack:
+                        del stack[len(stack) - 1 - stack[::-1].index(name) :]
+                    stack.append(name)
+                at, before = m.end(), kind
+                if not m[0].endswith(">"):
+                    parts.append((i, "", {f"after.{kind}", "cut tag"}))
+        out.extend(parts)
+    return out
+
+
+def features(lines: list[str]) -> tuple[list[int], list[list[int]]]:
+    """The line and the feature numbers of each leaf block."""
+    inside, out, where = ancestors(lines), [], []
+    for i, text, known in leaves(lines, inside):
+        t = text.strip()
+        f = [0, *(_AT[k] for k in sorted(known))]
         if not t:
             f.append(_AT["empty"])
         else:
@@ -127,12 +172,15 @@ def features(lines: list[str]) -> list[list[int]]:
                 f.append(_AT[f"in.{inside[i]}"])
             if i and lines[i - 1].strip():
                 f.append(_AT["below text"])
+            if i + 1 < len(lines) and _RULE.match(lines[i + 1]):
+                f.append(_AT["above rule"])
             if _SIGN.search(t) and inside[i] not in ("pre", "fence", "verbatim"):  # code is of no notation
-                bare = _INLINE_CODE.sub("`c`", line.rstrip("\r")) if "`" in line else line.rstrip("\r")
-                f += [_AT[f"{g}.{n}"] for g, n, p in CONSTRUCTS if p.search(bare)]
+                bare = _INLINE_CODE.sub("`c`", text.rstrip("\r")) if "`" in text else text.rstrip("\r")
+                f += [_AT[f"{g}.{n}"] for g, n, p in SIGNS if p.search(bare)]
                 f += [_AT[f"decoy.{n}"] for n, p in DECOYS if p.search(bare)]
         out.append(f)
-    return out
+        where.append(i)
+    return where, out
 
 
 # ---- labelled pages -------------------------------------------------------------------------------------------------
@@ -209,7 +257,7 @@ def labelled_pages(pages: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[
     r, out = random.Random(seed), []
     for _ in range(pages):
         used = r.sample(NOTATIONS, r.choice((0, 1, 1, 2, 3, 4)))
-        rows: list[tuple[str, str]] = []
+        rows: list[tuple[str, str]] = [(_head(r), "plain") for _ in range(r.choice((0, 0, 1, 2, 3)))]
         for _ in range(r.randint(3, 9)):
             rows += _block(r, r.choice(used)) if used and r.random() < 0.6 else [(x, "plain") for x in _plain(r)]
         out.append(([x for x, _ in rows], [LABELS.index(y) for _, y in rows]))
@@ -231,7 +279,10 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 @lru_cache(maxsize=1)
 def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(feature weights, transition weights) by maximum likelihood with an L2 penalty."""
-    data = [(features(lines), labels) for lines, labels in labelled_pages(pages, seed)]
+    data = []
+    for lines, labels in labelled_pages(pages, seed):
+        where, feats = features(lines)
+        data.append((feats, [labels[i] for i in where]))
     k, rng = len(LABELS), np.random.default_rng(seed)
     w, t = np.zeros((len(FEATURES), k)), np.zeros((k, k))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
@@ -280,16 +331,19 @@ def viterbi(model: tuple[np.ndarray, np.ndarray], feats: list[list[int]]) -> lis
     return path[::-1]
 
 
-_GROUP = {_AT[f"{g}.{n}"]: LABELS.index(g) for g, n, _ in CONSTRUCTS}
+_TELLING = frozenset(_AT[f"{g}.{n}"] for g, n, _ in SIGNS) | frozenset(i for f, i in _AT.items() if f.startswith(("after.", "before.")) or f == "cut tag")
 
 
 def decode(model, lines: list[str]) -> tuple[list[int], set[int]]:
-    """Labels of the lines, and the notations that a block is decoded as and has a construct of."""
-    feats = features(lines)
-    if not any(f in _GROUP for fs in feats for f in fs):
-        return [0] * len(lines), set()
-    labels = viterbi(model, feats)
-    return labels, {y for y, fs in zip(labels, feats, strict=True) if 1 <= y <= 4 and any(_GROUP.get(f) == y for f in fs)}
+    """Labels of the lines (that of its first block which isn't plain), and the notations that a block is decoded as."""
+    where, feats = features(lines)
+    labels = [0] * len(lines)
+    if _TELLING.isdisjoint(f for fs in feats for f in fs):
+        return labels, set()
+    path = viterbi(model, feats)
+    for i, y in zip(where, path, strict=True):
+        labels[i] = labels[i] or y
+    return labels, {y for y in path if 1 <= y <= 4}
 
 
 # ---- clean text -----------------------------------------------------------------------------------------------------
