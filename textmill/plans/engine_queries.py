@@ -236,7 +236,35 @@ near AS (SELECT a.first_id AS id_a, b.first_id AS id_b, CAST(bit_count(xor(a.w0,
   FROM classes a JOIN classes b ON a.first_id < b.first_id)"""
 _NEAR = "vocabulary AS (SELECT token AS candidate, df FROM dfs), asked AS (SELECT unnest([" + ", ".join(f"'{w}'" for w in MISSPELT) + "]) AS word), near AS (SELECT word, candidate, CAST(levenshtein(word, candidate) AS BIGINT) AS distance, df FROM asked, vocabulary WHERE levenshtein(word, candidate) <= 2)"
 
+def _named(names: str) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in names.split()) + "]"
+
+
+# The tree rules of the HTML reader, a piece (tag or text) at a time over a stack of open elements; entities hold no token characters.
+_VOID = "area base br col embed hr img input link meta param source track wbr"
+_SELF = "li tr td th dt dd option"
+_ATTR = r"""(?:[^<>"'']|"[^"]*"|''[^'']*'')*"""
+_PIECE = rf"""(?s)<!--.*?(?:-->|\z)|<![^>]*(?:>|\z)|<\?[^>]*(?:>|\z)|<(?i:script)(?:[^A-Za-z0-9<>"'']{_ATTR})?(?:>|\z).*?(?:(?i:</script)\s*>?|\z)|<(?i:style)(?:[^A-Za-z0-9<>"'']{_ATTR})?(?:>|\z).*?(?:(?i:</style)\s*>?|\z)|</?[A-Za-z][A-Za-z0-9]*{_ATTR}(?:>|\z)|[^<]+|<"""
+_CUT = "list_slice(acc.stack, 1, len(acc.stack) - list_position(list_reverse(acc.stack), {0}))"
+_HTML_TAGS = f"""WITH contents AS (SELECT DISTINCT page_id AS doc_id, content FROM pages WHERE content IS NOT NULL),
+pieces AS (SELECT doc_id, list_transform(regexp_extract_all(content, '{_PIECE}'), lambda t: {{
+    'stack': CAST([] AS VARCHAR[]), 'nodes': CAST([] AS STRUCT(tag VARCHAR, text VARCHAR)[]), 't': t,
+    'name': CASE WHEN regexp_matches(t, '^</?[A-Za-z]') AND len(t) > 1 THEN lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) ELSE '' END}}) AS ps FROM contents),
+read AS (SELECT doc_id, list_reduce(ps, lambda acc, x: {{
+    'stack': CASE
+      WHEN x.name = '' OR x.name IN ('script', 'style') OR list_contains({_named(_VOID)}, x.name) THEN acc.stack
+      WHEN x.t[2] = '/' THEN CASE WHEN list_contains(acc.stack, x.name) THEN {_CUT.format('x.name')} ELSE acc.stack END
+      ELSE list_concat(CASE WHEN x.name = 'p' AND list_contains(acc.stack, 'p') THEN {_CUT.format("'p'")}
+          WHEN list_contains({_named(_SELF)}, x.name) AND acc.stack[-1] = x.name THEN list_slice(acc.stack, 1, len(acc.stack) - 1) ELSE acc.stack END,
+        CASE WHEN regexp_matches(x.t, '/>?$') THEN [] ELSE [x.name] END) END,
+    'nodes': CASE WHEN x.t[1] = '<' AND len(x.t) > 1 THEN acc.nodes ELSE list_append(acc.nodes, {{'tag': coalesce(acc.stack[-1], ''), 'text': x.t}}) END,
+    't': '', 'name': ''}}, {{'stack': CAST([] AS VARCHAR[]), 'nodes': CAST([] AS STRUCT(tag VARCHAR, text VARCHAR)[]), 't': '', 'name': ''}}).nodes AS nodes FROM pieces),
+nodes AS (SELECT doc_id, unnest(nodes) AS n FROM read),
+words AS (SELECT doc_id, n.tag AS tag, lower(unnest(regexp_extract_all(regexp_replace(n.text, '&#?\\w+;?', ' ', 'g'), '[a-zA-Z\\p{{Nd}}]+'))) AS token FROM nodes)
+SELECT doc_id, token, {', '.join(f"count(*) FILTER (tag = '{t}') AS f_{t}" for t in TAGS[:-1])}, count(*) FILTER (tag NOT IN {TAGS[:-1]}) AS f_other, count(*) AS tf FROM words GROUP BY doc_id, token"""
+
 SQL = {
+    "html_tag_freq": _HTML_TAGS,
     "tokenize_docs": f"SELECT doc_id, CAST(coalesce(len(ts), 0) AS BIGINT) AS n_tokens, coalesce(array_to_string(ts, ' '), '') AS joined FROM (SELECT doc_id, {_T.format('text')} AS ts FROM documents)",
     "word_freq": f"WITH {_WORDS} SELECT * FROM freq",
     "doc_freq_idf": f"WITH {_WORDS} SELECT token, df, round(ln(CAST(n_docs AS DOUBLE) / df), 6) AS idf FROM dfs CROSS JOIN total",
