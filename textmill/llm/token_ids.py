@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("TEXTMILL_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+CHUNK = 65_536  # characters of a long piece that the transducer is fed at a time; pieces of a longer text are found one by one
 MAX_VOCABULARY_BYTES = 64_000_000  # the rank file is broadcast; a larger one is refused
 
 
@@ -124,7 +125,7 @@ class Transducer:
         return max(min(heads), base)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.stream([piece.encode()]))
+        ids = tuple(self.stream(piece[i : i + CHUNK].encode() for i in range(0, len(piece), CHUNK)))
         if len(piece) <= 64:
             if len(self.cache) >= self.cached:
                 self.cache.clear()
@@ -135,7 +136,7 @@ class Transducer:
         ids: list[int] = []
         if text:
             get, add = self.cache.get, ids.extend
-            for piece in self.pieces.findall(text):
+            for piece in self.pieces.findall(text) if len(text) <= CHUNK else map(regex.Match.group, self.pieces.finditer(text)):
                 add(get(piece) or self._piece(piece))
         return ids
 
