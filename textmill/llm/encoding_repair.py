@@ -60,7 +60,8 @@ def _alphabets() -> frozenset[str]:
 
 def symbol(c: str) -> str:
     """What a character counts as in the pair model: characters of the code pages and ASCII as themselves, any other by its block of 256 and
-    whether it is a letter. So a model has some thousand symbols at most, whatever the text."""
+    whether it is a letter. So a model has 8,700 symbols at most, and pairs
+    mostly within a script."""
     return c if c < "\x80" or c in ALPHABETS else f"{ord(c) >> 8:x}{'L' if c.isalpha() else 'S'}"
 
 
