@@ -6,7 +6,7 @@ list is ever one task's. Nested entries are a view for small results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.html import with_text_nodes
@@ -51,8 +51,9 @@ def document_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def with_idf(dfs: DataFrame, n_docs: int) -> DataFrame:
-    return dfs.withColumn("idf", idf(F.lit(n_docs), F.col("df")))
+def with_idf(dfs: DataFrame, n_docs: Column) -> DataFrame:
+    """``dfs`` (token, df) with idf for a collection of ``n_docs`` documents."""
+    return dfs.withColumn("idf", idf(n_docs, F.col("df")))
 
 
 def nested_entries(postings: DataFrame, most: int | None = None) -> DataFrame:

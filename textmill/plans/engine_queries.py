@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from textmill.functions.text import STRANGE, TAG_WEIGHTS, TAGS, is_strange, tokens
+from textmill.functions.text import STRANGE, TAG_WEIGHTS, TAGS, is_strange, raw_terms, safe_name, similarity, terms, tokens
 from textmill.operators import postings as po
 from textmill.operators import search as se
 from textmill.operators import simhash as sh
@@ -73,7 +73,7 @@ def tokenize_docs(spark, d):
 
 
 def doc_freq_idf(spark, d):
-    return _rounded(po.document_frequencies(_plain(spark, d)).select("token", "df", F.log(_n(_docs(spark, d)).cast("double") / F.col("df")).alias("idf")), "idf")
+    return _rounded(po.with_idf(po.document_frequencies(_plain(spark, d)), _n(_docs(spark, d))), "idf")
 
 
 def nested_topterms(spark, d):
@@ -120,6 +120,16 @@ def stored_statistics(spark, d):
     return engine.statistics().crossJoin(files)
 
 
+def query_forms(spark, d):
+    forms = {name: F.array_join(F.sort_array(f(F.col("text"))), " ") for name, f in (("terms", terms), ("strict", raw_terms))}
+    return table(spark, d, "benchmark").select("item_id", *(c.alias(n) for n, c in forms.items()))
+
+
+def near_dup_similarity(spark, d):
+    pairs = sh.near_class_pairs(sh.classes(_hashes(spark, d)))
+    return pairs.select("id_a", "id_b", F.round(similarity(F.col("distance")), 6).alias("similarity"))
+
+
 def _batch(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -164,6 +174,10 @@ QUERIES = {
     "spell_corrected": lambda spark, d: wo.corrected(_asked(spark), po.document_frequencies(_plain(spark, d))),
     "spell_search": spell_search,
     "page_catalogue": page_catalogue,
+    "query_forms": query_forms,
+    "near_dup_similarity": near_dup_similarity,
+    "safe_names": lambda spark, d: table(spark, d, "pages").where("url <> ''").select("url", safe_name(F.col("url")).alias("name")).distinct(),
+    "bad_residuals": lambda spark, d: po.bad_residuals(po.tag_frequencies(table(spark, d, "pages").select("page_id", "content").distinct())).select("doc_id", "token"),
     "stored_lookup": lambda spark, d: stored(spark, d).lookup(*LOOKUP).select("token", "doc_id", "tf"),
     "stored_statistics": stored_statistics,
     "stored_search": lambda spark, d: _rounded(stored(spark, d).search(QUERY).withColumn("query_id", F.col("query_id").cast("bigint")), "tfidf", "cosine"),
@@ -295,6 +309,10 @@ SELECT h.doc_id FROM hashes h LEFT JOIN least_of l ON l.w0 = h.w0 AND l.w1 = h.w
     "spell_corrected": f"WITH {_WORDS}, {_NEAR} SELECT word, arg_min(candidate, (distance, -df, candidate)) AS corrected FROM near GROUP BY word",
     "spell_search": f"WITH {_search_sql(_RESPELT)} SELECT query_id, doc_id, round(tfidf, 6) AS tfidf FROM best",
     "page_catalogue": "SELECT dense_rank() OVER (ORDER BY path) AS doc_id, page_id, path FROM (SELECT DISTINCT page_id, path FROM pages WHERE path IS NOT NULL)",
+    "query_forms": f"SELECT item_id, coalesce(array_to_string(list_sort(list_distinct({_T.format('text')})), ' '), '') AS terms, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(trim(lower(text)), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))), ' ') AS strict FROM benchmark",
+    "near_dup_similarity": f"WITH {_HASHES} SELECT id_a, id_b, round(1 - distance / 128.0, 6) AS similarity FROM near WHERE distance <= {sh.NEAR}",
+    "safe_names": "SELECT DISTINCT url, regexp_replace(url, '[<>:\"/\\\\|?*]', '_', 'g') AS name FROM pages WHERE url <> ''",
+    "bad_residuals": f"SELECT doc_id, token FROM ({_HTML_TAGS}) WHERE f_other < 0",
     "stored_lookup": f"WITH {_WORDS} SELECT token, doc_id, n AS tf FROM freq WHERE token IN {LOOKUP}",
     "stored_statistics": f"WITH {_WORDS} SELECT (SELECT count(*) FROM dfs) AS n_tokens, (SELECT count(*) FROM freq) AS n_postings, (SELECT count(*) FROM words) AS n_words, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_docs, (SELECT min(token) FROM dfs) AS first_token, (SELECT max(token) FROM dfs) AS last_token, (SELECT count(*) FROM freq) AS in_files",
     "stored_search": f"WITH {_search_sql(_ONE, _WITH_TEXT)} {_STORED_RANKED}",
