@@ -133,6 +133,34 @@ def test_field_on_held_out_pages():
     assert right / total > 0.98
 
 
+def test_gradient_of_a_padded_batch():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    w, t = rng.normal(size=(4, 3)), rng.normal(size=(3, 3))
+    pages = [([[0, 1], [2], [0, 3]], [0, 2, 1]), ([[1]], [2]), ([[3], [0, 2]], [1, 1])]
+
+    def loss(w, t):
+        total = 0.0
+        for feats, gold in pages:
+            def score(p, feats=feats):
+                return sum(w[f].sum(axis=0)[y] for f, y in zip(feats, p, strict=True)) + sum(t[a, b] for a, b in zip(p, p[1:], strict=False))
+
+            total += np.log(sum(np.exp(score(p)) for p in product(range(3), repeat=len(feats)))) - score(gold)
+        return total
+
+    gw, gt = np.zeros_like(w), np.zeros_like(t)
+    markup._add_gradient([(np.concatenate([np.array(f) for f in x]), np.array([len(f) for f in x]), np.array(y)) for x, y in pages], w, t, gw, gt)
+    for x, g in ((w, gw), (t, gt)):
+        for i in np.ndindex(*x.shape):
+            x[i] += 1e-5
+            up = loss(w, t)
+            x[i] -= 2e-5
+            down = loss(w, t)
+            x[i] += 1e-5
+            assert abs((up - down) / 2e-5 - g[i]) < 1e-4
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 

@@ -276,13 +276,39 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def _add_gradient(batch: list[tuple[np.ndarray, np.ndarray, np.ndarray]], w: np.ndarray, t: np.ndarray, gw: np.ndarray, gt: np.ndarray) -> None:
+    """Forward-backward over a batch of pages (feature numbers of all blocks, their numbers of features, labels) at once; adds to the
+    gradients of the negative log-likelihood. Shorter pages are padded and masked."""
+    sizes = [len(y) for _, _, y in batch]
+    mask = np.arange(max(sizes)) < np.array(sizes)[:, None]
+    flat, each, gold = (np.concatenate(c) for c in zip(*batch, strict=True))
+    block = np.repeat(np.arange(len(each)), each)
+    e = np.zeros((*mask.shape, w.shape[1]))
+    e[mask] = np.add.reduceat(w[flat], np.cumsum(each) - each)
+    alpha, beta = np.zeros_like(e), np.zeros_like(e)
+    alpha[:, 0] = e[:, 0]
+    for i in range(1, mask.shape[1]):
+        alpha[:, i] = np.where(mask[:, i, None], e[:, i] + _lse(alpha[:, i - 1, :, None] + t, 1), alpha[:, i - 1])
+    for i in range(mask.shape[1] - 2, -1, -1):
+        beta[:, i] = np.where(mask[:, i + 1, None], _lse(t + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2), 0.0)
+    z = _lse(alpha[:, -1], 1)
+    marginal = np.exp(alpha + beta - z[:, None, None])[mask]
+    np.add.at(gw, flat, marginal[block])
+    np.subtract.at(gw, (flat, gold[block]), 1)
+    pairs = np.exp(alpha[:, :-1, :, None] + t + (e + beta)[:, 1:, None, :] - z[:, None, None, None])
+    gt += pairs[mask[:, 1:]].sum(axis=0)
+    labels = np.zeros(mask.shape, np.int64)
+    labels[mask] = gold
+    np.subtract.at(gt, (labels[:, :-1][mask[:, 1:]], labels[:, 1:][mask[:, 1:]]), 1)
+
+
 @lru_cache(maxsize=1)
 def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(feature weights, transition weights) by maximum likelihood with an L2 penalty."""
     data = []
     for lines, labels in labelled_pages(pages, seed):
         where, feats = features(lines)
-        data.append((feats, [labels[i] for i in where]))
+        data.append((np.concatenate([np.array(f) for f in feats]), np.array([len(f) for f in feats]), np.array([labels[i] for i in where])))
     k, rng = len(LABELS), np.random.default_rng(seed)
     w, t = np.zeros((len(FEATURES), k)), np.zeros((k, k))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
@@ -290,23 +316,7 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED)
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(len(data)), max(1, len(data) // 10)):
             gw, gt = 1e-4 * w, 1e-4 * t
-            for d in batch:
-                feats, labels = data[d]
-                e, n = _emissions(w, feats), len(feats)
-                alpha, beta = np.zeros((n, k)), np.zeros((n, k))
-                alpha[0] = e[0]
-                for i in range(1, n):
-                    alpha[i] = e[i] + _lse(alpha[i - 1][:, None] + t, 0)
-                for i in range(n - 2, -1, -1):
-                    beta[i] = _lse(t + (e[i + 1] + beta[i + 1])[None, :], 1)
-                z = _lse(alpha[-1], 0)
-                marginal = np.exp(alpha + beta - z)
-                for i, (f, y) in enumerate(zip(feats, labels, strict=True)):
-                    gw[f] += marginal[i]
-                    gw[f, y] -= 1
-                    if i:
-                        gt += np.exp(alpha[i - 1][:, None] + t + (e[i] + beta[i])[None, :] - z)
-                        gt[labels[i - 1], y] -= 1
+            _add_gradient([data[d] for d in batch], w, t, gw, gt)
             step += 1
             for x, g, m, v in ((w, gw, *moments[:2]), (t, gt, *moments[2:])):
                 m *= 0.9
