@@ -111,12 +111,14 @@ def test_simhash_tables_find_all_near_links(spark):
     base = [[f"{r.choice('abcdefgh')}{i}{j}" for i in range(25)] for j in range(30)]
     segs = [(" ".join(b), True) for b in base] + [(" ".join([*b[:k], "x", *b[k + 1 :]]), False) for b in base for k in r.sample(range(25), 4)]
     sims = {s: residue.simhash(s) & (1 << 64) - 1 for s, _ in segs}
-    got = {(bytes(x.a).decode(), bytes(x.b).decode()) for x in residue.near_links(spark.createDataFrame([(s.encode(), s, t) for s, t in segs], "id binary, text string, trusted boolean")).collect()}
+    distinct = spark.createDataFrame([(s.encode(), s, t) for s, t in segs], "id binary, text string, trusted boolean")
+    tables = residue.tabled(distinct)
+    got = {(bytes(x.a).decode(), bytes(x.b).decode()) for x in residue.near_links(tables.where("NOT trusted"), tables.where("trusted"), distinct).collect()}
 
     def common(a, b):
         return len(set(a.split()) & set(b.split())) / max(len(set(a.split())), len(set(b.split())))
 
-    expected = {(a, b) for a, t in segs if not t for b, _ in segs if a != b and bin(sims[a] ^ sims[b]).count("1") <= residue.NEAR and common(a, b) >= residue.SIMILAR}
+    expected = {(a, b) for a, t in segs if not t for b, u in segs if u and bin(sims[a] ^ sims[b]).count("1") <= residue.NEAR and common(a, b) >= residue.SIMILAR}
     assert expected == got and got
 
 

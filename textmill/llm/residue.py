@@ -300,38 +300,45 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, hashes], [*b.schema.names, "sim"])
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): the ids of verified links from untrusted to any other segments of ``distinct`` (id, text, trusted).
-
-    A pair within six bits leaves two of the eight partitions untouched, so it meets in one of the 28 tables. Links between
-    two trusted segments would carry no label and aren't made. Hashes decide first; only the texts of near pairs are fetched."""
+def tabled(distinct: DataFrame) -> DataFrame:
+    """(id, sim, trusted, key): the 28 table keys of each of ``distinct`` (id, text, trusted), one for every pair of the hash's partitions."""
     hashed = distinct.select("id", "text", "trusted").mapInArrow(_hash, "id binary, text string, trusted boolean, sim bigint")
     blocks = [F.shiftrightunsigned("sim", 8 * i).bitwiseAND(F.lit(255)) for i in range(BLOCKS)]
     keys = [F.lit(n << 16) + blocks[i] * 256 + blocks[j] for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
-    tabled = hashed.select("id", "trusted", "sim", F.explode(F.array(*keys)).alias("key"))
-    a = tabled.where(~F.col("trusted")).select("key", F.col("id").alias("a"), F.col("sim").alias("sa"))
-    b = tabled.select("key", F.col("id").alias("b"), F.col("sim").alias("sb"))
+    return hashed.select("id", "sim", "trusted", F.explode(F.array(*keys)).alias("key"))
+
+
+def near_links(rest: DataFrame, fresh: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): the ids of verified links from ``rest`` to ``fresh``, both as of ``tabled``; ``texts`` (id, text).
+
+    A pair within six bits leaves two of the eight partitions untouched, so it meets in one of the tables. Hashes decide first; only the
+    texts of near pairs are fetched."""
+    a = rest.select("key", F.col("id").alias("a"), F.col("sim").alias("sa"))
+    b = fresh.select("key", F.col("id").alias("b"), F.col("sim").alias("sb"))
     near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= NEAR
-    pairs = a.join(b, "key").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
-    texts = distinct.select("id", F.split("text", " ").alias("w"))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(texts.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    pairs = a.join(b, "key").where(near).select("a", "b").distinct()
+    words = texts.select("id", F.split("text", " ").alias("w"))
+    both = pairs.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size(F.array_distinct("wa")), F.size(F.array_distinct("wb")))
     return both.where(common >= SIMILAR).select("a", "b")
 
 
 def labelled_segments(found: DataFrame) -> DataFrame:
-    """(id): every suspect segment in a connected component with a trusted one. ``found`` as of ``suspects``."""
+    """(id): every suspect segment in a connected component with a trusted one. ``found`` as of ``suspects``.
+
+    The label goes out from what was labelled last to what isn't yet, so links among unlabelled segments, however many of them are
+    alike, are never made, and none is made twice."""
     each = found.select(F.explode("segments").alias("s")).select("s.id", "s.text", "s.trusted")
     distinct = cut_lineage(each.groupBy("id").agg(F.min("text").alias("text"), F.max("trusted").alias("trusted")))
-    links = cut_lineage(near_links(distinct))
+    tables = cut_lineage(tabled(distinct))
     known = distinct.where("trusted").select("id")
-    fresh = known
+    rest, fresh = tables.where(~F.col("trusted")), tables.where("trusted")
     while True:
-        reached = links.join(fresh, links["b"] == fresh["id"]).select(F.col("a").alias("id")).distinct().join(known, "id", "left_anti")
-        fresh = cut_lineage(reached)
-        if fresh.isEmpty():
+        reached = cut_lineage(near_links(rest, fresh, distinct).select(F.col("a").alias("id")).distinct())
+        if reached.isEmpty():
             return known
-        known = known.unionByName(fresh)
+        known = known.unionByName(reached)
+        fresh, rest = rest.join(reached, "id", "left_semi"), rest.join(reached, "id", "left_anti")
 
 
 def residue_pages(*tables: DataFrame) -> DataFrame:
