@@ -18,7 +18,7 @@ from textmill.operators import words as wo
 from textmill.plans.engine import NO_SUMMARY, Engine
 from textmill.sources import index_store as store
 from textmill.sources.index_store import IndexOptions, size_kb
-from textmill.sources.json_pages import bad_files, catalogue, first_urls, read_pages
+from textmill.sources.json_pages import bad_files, catalogue, first_urls, read_pages, read_zipped_pages
 
 PAGES = [
     (1, "a/1", "http://x/1", "<title>Spark engine</title><h1>Spark</h1><p>fast <b>engine</b> engine</p>"),
@@ -243,6 +243,20 @@ def test_json_pages(spark, tmp_path):
     assert {(r.url, r.doc_id) for r in first_urls(pages).collect()} == {("u", rows["b.json"].doc_id), ("v", rows["n.json"].doc_id)}
 
 
+def test_zipped_pages(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "d").mkdir()
+    with zipfile.ZipFile(tmp_path / "d/a.zip", "w") as z:
+        for name, text in (("x/1.json", '{"url": "u", "content": "é"}'), ("2.json", "[1]"), ("3.json", "no"), ("4.txt", "{}"), ("5.json", '{"url": 7}')):
+            z.writestr(name, text)
+    (tmp_path / "b.zip").write_bytes(b"no archive")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in read_zipped_pages(spark, str(tmp_path)).collect()}
+    assert {k: r.bad for k, r in rows.items()} == {"1.json": False, "2.json": True, "3.json": True, "5.json": False, "b.zip": True}
+    assert (rows["1.json"].url, rows["1.json"].content, rows["5.json"].url) == ("u", "é", "7") and rows["1.json"].path.endswith("d/a.zip!/x/1.json")
+    assert catalogue(read_zipped_pages(spark, str(tmp_path))).count() == 5
+
+
 def test_partition_count_does_not_matter(spark):
     docs = spark.createDataFrame([(i, f"a b{i % 3} c c") for i in range(30)], "doc_id bigint, text string")
     results = set()

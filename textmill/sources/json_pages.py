@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +52,35 @@ def first_urls(pages: DataFrame, key: str = "doc_id", *more: str) -> DataFrame:
 def bad_files(pages: DataFrame) -> DataFrame:
     """One row: files, bad files, files without content."""
     return pages.agg(F.count(F.lit(1)).alias("files"), F.count_if("bad").alias("bad"), F.count_if(~F.col("bad") & F.col("content").isNull()).alias("empty"))
+
+
+def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("path", "url", "content", "encoding", "bad")
+    kinds = (*[pa.string()] * 4, pa.bool_())
+    for b in batches:
+        for archive, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            rows: list[tuple] = []
+            try:
+                with zipfile.ZipFile(io.BytesIO(blob.as_buffer())) as z:
+                    for entry in sorted(n for n in z.namelist() if n.endswith(".json")):
+                        try:
+                            page = json.loads(z.read(entry))
+                            values = [v if v is None or isinstance(v, str) else json.dumps(v) for v in map(page.get, ("url", "content", "encoding"))]
+                            rows.append((f"{archive}!/{entry}", *values, False))
+                        except (ValueError, AttributeError, zipfile.BadZipFile):
+                            rows.append((f"{archive}!/{entry}", None, None, None, True))
+                        if len(rows) >= 1000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                            rows = []
+            except zipfile.BadZipFile:
+                rows.append((archive, None, None, None, True))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def read_zipped_pages(spark: SparkSession, root: str) -> DataFrame:
+    """(path, url, content, encoding, bad), as of ``read_pages``, of every ``*.json`` in the ``*.zip`` archives below ``root``, which may be in
+    an object store. A path is the archive's, ``!/`` and the entry's. An archive is read by one task and must fit into its memory, so a
+    crawl is better kept in many; one that is no archive is a bad row."""
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.zip").load(root).select("path", "content")
+    return files.mapInArrow(_unzipped, "path string, url string, content string, encoding string, bad boolean")
