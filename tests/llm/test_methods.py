@@ -66,3 +66,15 @@ def test_a_hosts_article_lines_do_not_depend_on_its_shards():
     prints, n = mc.page_counts(owner, found)
     repeated = prints[n >= mc.MIN_PAGES]
     assert mc.article_lines(pages) == mc.article_lines(pages[:5], repeated) + mc.article_lines(pages[5:], repeated)
+
+
+def test_a_hosts_article_lines_do_not_depend_on_other_hosts(spark):
+    rows = duckdb.sql(f"SELECT page_id, url, content FROM '{DATA}/pages.parquet' WHERE content <> '' AND url <> ''").fetchall()
+    host = {r[1].lower().split("//")[-1].split("/")[0].removeprefix("www.").split(":")[0] for r in rows}
+    some = sorted(host)[: len(host) // 2]
+    part = [r for r in rows if any(h in r[1].lower() for h in some)]
+    schema = "page_id bigint, url string, content string"
+    alone = {tuple(x) for x in mc.main_lines(spark.createDataFrame(part, schema)).collect()}
+    among = {tuple(x) for x in mc.main_lines(spark.createDataFrame(rows, schema)).collect()}
+    ids = {r[0] for r in part}
+    assert len(alone) > 500 and alone == {x for x in among if x[0] in ids}
